@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdshards, mixing, topk, urlrules
+from . import jaccard, kdshards, mixing, topk, urlrules
 from .common import table
 
 
@@ -37,11 +37,16 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", F.when(F.col("rank") == 1, F.substring("pattern", 3, 1 << 30)).alias("rule"), "verdict")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op6_topk": op6_topk,
     "op8_kd_shards": op8_kd_shards,
     "op9_url_rules": op9_url_rules,
+    "op10_jaccard": op10_jaccard,
 }
 
 _SITE_VALUES = ", ".join(f"('{host}{path}', '{host}', '{path}', '{action}')" for action, host, path in SITE_RULES)
@@ -106,4 +111,23 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, CASE
   WHEN regexp_matches(host || path, '^([^/]*\\.)?(spam-farm\\.|casino-win\\.|adult-)') OR contains(host || path, '/ads/')
     OR ends_with(host || path, '/wp-login.php') THEN 'block' ELSE 'allow' END) AS verdict
 FROM m""",
+    "op10_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM w
+), x AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), m AS (
+  SELECT a, min(b) AS component_id FROM r GROUP BY 1
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN m ON a = doc_id""",
 }
