@@ -7,18 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, kdshards, mixing, topk, urlrules
+from . import audio, jaccard, kdshards, mixing, nbsvm, packing, topk, urlrules
 from .common import table
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_features(table(spark, sf_dir, "documents"), keep=())
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def word_tokenizer() -> str:
+    """Place of the tokenizer file that the contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), 2048, 1)
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+#: Documents of at least this score count as good.
+GOOD = 0.3
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = nbsvm.with_score(docs.select("doc_id", "text"), nbsvm.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", nbsvm.held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kdshards.shard_documents(table(spark, sf_dir, "documents"), 40)
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -42,8 +67,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_audio": op2_audio,
     "op4_mixing": op4_mixing,
+    "op5_packing": op5_packing,
     "op6_topk": op6_topk,
+    "op7_quality": op7_quality,
     "op8_kd_shards": op8_kd_shards,
     "op9_url_rules": op9_url_rules,
     "op10_jaccard": op10_jaccard,
