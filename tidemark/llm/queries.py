@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, jaccard, kdshards, mixing, nbsvm, packing, topk, urlrules
+from . import audio, jaccard, kdshards, mixing, nbsvm, packing, secrets, topk, urlrules
 from .common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_features(table(spark, sf_dir, "documents"), keep=())
 
@@ -67,6 +71,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_audio": op2_audio,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
