@@ -18,6 +18,9 @@ from .shingles import Hasher, mix, set_key, texts
 FREQUENT = 64
 #: At most so many frequent shingles are kept, the most frequent first; the bound on what is broadcast.
 FREQUENT_KEPT = 1 << 20
+#: Places of the bitmap of shingles that are in more than one document, as a power of two: 32 MB to each worker.
+#: Where it fills up, single ones pass for repeated ones; that costs work and changes no result.
+REPEATED_BITS = 28
 #: Sets up to this size index pairs of their frequent shingles; larger ones, and those within
 #: reach of them, index single ones, as pairs would be too many.
 PAIRED_UP_TO = 240
@@ -30,17 +33,22 @@ HELD = 4_000_000
 class _Prefixes:
     """Which tokens of a set go into the index.
 
-    All sets order their tokens alike: rare ones first, frequent ones last, by hash within
-    either. Two sets of similarity t share at least l tokens among the first n - ceil(t n) + l
-    of each. With l = 2: either a rare token is shared there, or a pair of frequent ones. With
-    l = 1, for sets that index single frequent tokens: any token.
+    All sets order their tokens alike: those of one document alone first, then rare ones, then
+    frequent ones, by hash within each class. Two sets of similarity t share at least l tokens among the
+    first n - ceil(t n) + l of each. With l = 2: either a rare token is shared there, or a pair
+    of frequent ones. With l = 1, for sets that index single frequent tokens: any token. A token
+    of one document is shared with none, so it takes its place and is not indexed.
     """
 
-    def __init__(self, percent: int, frequent: np.ndarray) -> None:
-        self.percent, self.frequent = percent, frequent
+    def __init__(self, percent: int, frequent: np.ndarray, repeated: np.ndarray) -> None:
+        self.percent, self.frequent, self.repeated = percent, frequent, repeated
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(frequent >> np.uint64(24)).astype(np.int64)] = True
 
+    def is_repeated(self, s: np.ndarray) -> np.ndarray:
+        at = s >> np.uint64(64 - REPEATED_BITS)
+        return (self.repeated[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
     def is_frequent(self, s: np.ndarray) -> np.ndarray:
         out = self.maybe[(s >> np.uint64(48)).astype(np.int64)]
         at = np.flatnonzero(out)
@@ -53,10 +61,13 @@ class _Prefixes:
     def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rare tokens, keys of frequent tokens) to index for the sorted set s."""
         n = len(s)
-        length = n - (self.percent * n + 99) // 100 + 2
-        common = self.is_frequent(s)
-        rare = s[~common][:length]
-        left = s[common][: length - len(rare)]
+        again = s[self.is_repeated(s)]
+        length = n - (self.percent * n + 99) // 100 + 2 - (n - len(again))
+        if length <= 0:
+            return again[:0], again[:0]
+        common = self.is_frequent(again)
+        rare = again[~common][:length]
+        left = again[common][: length - len(rare)]
         keys = []
         if 2 <= n <= PAIRED_UP_TO and len(left) > 1:
             i, j = np.triu_indices(len(left), 1)
@@ -83,8 +94,8 @@ def _joined(blobs: pd.Series, dtype: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(b, dtype) for b in blobs])
 
 
-def _frequent(rows: DataFrame, width: int, bits: int) -> np.ndarray:
-    """The leading 40 bits of the shingles in FREQUENT documents or more, counted over all of them."""
+def _statistics(rows: DataFrame, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leading 40 bits of the frequent shingles, bitmap of repeated ones by leading bits), counted over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, n = Hasher(width), [], 0
@@ -102,15 +113,24 @@ def _frequent(rows: DataFrame, width: int, bits: int) -> np.ndarray:
     def total(part: pd.DataFrame) -> pd.DataFrame:
         keys = np.sort(_joined(part["keys"], np.uint32))
         at = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-        n = np.diff(np.concatenate([at, [len(keys)]]))
-        full = (np.uint64(part["range"].iloc[0]) << np.uint64(64 - bits)) | (keys[at].astype(np.uint64) << np.uint64(32 - bits))
+        n, which = np.diff(np.concatenate([at, [len(keys)]])), int(part["range"].iloc[0])
+        full = (np.uint64(which) << np.uint64(64 - bits)) | (keys[at].astype(np.uint64) << np.uint64(32 - bits))
+        # neighbours that share the leading 40 bits are one token here; all that matters is that all sets agree
+        short, first = np.unique(full >> np.uint64(24), return_index=True)
+        n = np.add.reduceat(n, first)
+        marks = np.zeros(1 << (REPEATED_BITS - bits), bool)
+        marks[(short[n > 1] >> np.uint64(40 - REPEATED_BITS)).astype(np.int64) & (len(marks) - 1)] = True
         most = n >= FREQUENT
-        return pd.DataFrame({"token": (full[most] >> np.uint64(24)).astype(np.int64), "n": n[most]})
+        out = pd.DataFrame({"token": short[most].astype(np.int64), "n": n[most], "marks": None})
+        return pd.concat([pd.DataFrame({"token": [which], "n": [0], "marks": [np.packbits(marks).tobytes()]}), out])
 
-    counted = rows.select("text").mapInArrow(count, "kind string, range int, keys binary").groupBy("range").applyInPandas(total, "token long, n long")
-    # neighbours that share 40 bits are one token here; all that matters is that all sets agree
-    kept = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT_KEPT).select("token").toPandas()
-    return np.sort(kept["token"].to_numpy(np.uint64))
+    counted = stable(rows.select("text").mapInArrow(count, "kind string, range int, keys binary").groupBy("range").applyInPandas(total, "token long, n long, marks binary"))
+    kept = counted.where("n > 0").orderBy(F.desc("n"), "token").limit(FREQUENT_KEPT).select("token").toPandas()
+    repeated = np.zeros(1 << (REPEATED_BITS - 3), np.uint8)
+    for r in counted.where("n = 0").toLocalIterator():
+        at = r["token"] << (REPEATED_BITS - 3 - bits)
+        repeated[at : at + len(r["marks"])] = np.frombuffer(r["marks"], np.uint8)
+    return np.sort(kept["token"].to_numpy(np.uint64)), repeated
 
 
 def _index(rows: DataFrame, width: int, bits: int, prefixes: _Prefixes) -> DataFrame:
@@ -200,6 +220,10 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[out]], nodes[out]
 
 
+#: Tells the nodes of one kind of cluster from those of the other.
+_TAG = 0x5DEECE66D1234567
+
+
 def _alike(size_a: np.ndarray, size_b: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
     return shared * 100 >= (size_a + size_b - shared) * percent
 
@@ -279,20 +303,29 @@ def _verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return both.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long")
 
 
-def _verified_clusters(forest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) that join, in every cluster of sets that share frequent keys, what is alike there.
+def _clusters(found: DataFrame) -> DataFrame:
+    """(kind, node, component, size): clusters of sets joined by candidate pairs, and by frequent keys, each kind on its own."""
+    tag = F.when(F.col("kind") == "common", F.lit(_TAG)).otherwise(F.lit(0))
+    joined = components(found.select(F.col("u").bitwiseXOR(tag).alias("u"), F.col("v").bitwiseXOR(tag).alias("v")))
+    nodes = found.select("kind", F.explode(F.array("u", "v")).alias("node")).distinct()
+    placed = nodes.join(joined.withColumnRenamed("node", "tagged"), F.col("node").bitwiseXOR(tag) == F.col("tagged")).drop("tagged")
+    return stable(placed.join(placed.groupBy("kind", "component").agg(F.count(F.lit(1)).alias("size")), ["kind", "component"]))
+
+
+def _verified_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) that join, in every cluster, all sets that are alike.
 
     A cluster of m sets is dealt into m / BLOCK blocks, and every two blocks meet in a task,
     which holds these alone and gives a forest of the links it finds, not the links.
     """
-    member = stable(components(forest))
-    blocks = member.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
-    placed = member.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = members.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("component", F.col("node").alias("key"), "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    placed = placed.select("kind", "component", F.col("node").alias("key"), "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     met = placed.join(sets.select("key", "tokens"), "key")
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates("key")  # a set that copies in other tasks have brought too
         key, own = part["key"].to_numpy(np.int64), part["own"].to_numpy()
         sets_ = [np.frombuffer(t, np.uint64) for t in part["tokens"]]
         size = np.array([len(s) for s in sets_], np.int64)
@@ -316,7 +349,7 @@ def _verified_clusters(forest: DataFrame, sets: DataFrame, percent: int) -> Data
         u, v = _forest(key[i], key[j]) if len(i) else (key[:0], key[:0])
         return pd.DataFrame({"u": u, "v": v})
 
-    return met.groupBy("component", "low", "high").applyInPandas(meet, "u long, v long")
+    return met.groupBy("kind", "component", "low", "high").applyInPandas(meet, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,20 +363,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Documents with the same set are one node. Nodes that share a rare shingle of their prefixes
     make candidate pairs; those that share pairs of frequent ones (single ones, for large sets)
-    make clusters, which are compared in blocks. What links is told by the whole sets. The
-    driver holds only frequent shingles (2**20 at most) and a filter of 2**27 bits at most.
+    make clusters, which are compared in blocks, as are pairs whose cluster is a block at most. Pairs of
+    wider clusters are compared one by one. What links is told by the whole sets. The driver holds only
+    frequent shingles (2**20 at most), a bitmap of 2**28 and a filter of 2**27 bits at most.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # ranges of the keys: 4 for each task that reads, so that each holds a few million tokens
     bits = min(20, max(8, (4 * rows.rdd.getNumPartitions() - 1).bit_length()))
-    prefixes = _Prefixes(percent, _frequent(rows, width, bits))
+    prefixes = _Prefixes(percent, *_statistics(rows, width, bits))
     found = stable(_candidates(_index(rows, width, bits, prefixes), percent))
-    nodes = found.select(F.col("u").alias("key")).union(found.select("v")).distinct()
-    wanted = _key_filter(nodes)
-    all_rows = stable(_sets(rows, width, wanted, 3))
-    sets = all_rows.where("tokens IS NOT NULL").groupBy("key").agg(F.first("tokens").alias("tokens"))
-    links = _verified_pairs(found.where("kind = 'rare'").select("u", "v"), sets, percent)
-    links = links.union(_verified_clusters(found.where("kind = 'common'").select("u", "v"), sets, percent))
+    members = _clusters(found)
+    all_rows = stable(_sets(rows, width, _key_filter(members.select(F.col("node").alias("key")).distinct()), 3))
+    sets = all_rows.where("tokens IS NOT NULL").select("key", "tokens")
+    small = (F.col("kind") == "common") | (F.col("size") <= BLOCK)
+    links = _verified_clusters(members.where(small), sets, percent)
+    wide = members.where(~small).select(F.col("node").alias("u"))
+    pairs = found.where("kind = 'rare'").join(wide, "u", "left_semi").select("u", "v")
+    links = links.union(_verified_pairs(pairs, sets.dropDuplicates(["key"]), percent))
     joined = components(links)
     least = all_rows.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = least.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
