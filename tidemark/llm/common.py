@@ -15,15 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder, so that rereads agree and lost executors cost nothing.
-
-    The folder is the one in spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df, written once to the shared checkpoint folder, so that rereads agree and lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -387,3 +387,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     of_key = named.join(ids, "component").select("key", "component_id")
     out = all_rows.drop("tokens").join(of_key, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near duplicates: of each component the row of the least id stays; of rows that repeat that id, one.
+
+    Rows without an id stand alone and stay. Most rows are told from the removed ones by a
+    filter and stay where they lie; only those it is unsure of are joined by their id.
+    """
+    found = near_duplicates(docs, width, percent, id_col, text_col)
+    ids = stable(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    odd = ids.where("doc_id <> least OR n > 1").select(F.col("doc_id").alias("key"), "least", "n")
+    wanted = _key_filter(odd.select("key"))
+
+    @F.pandas_udf("boolean")
+    def unsure(keys: pd.Series) -> pd.Series:
+        return pd.Series(_in_filter(wanted, keys.fillna(0).to_numpy(np.int64), 3) & keys.notna().to_numpy())
+
+    marked = docs.withColumn("__unsure", unsure(F.col(id_col).cast("long")))
+    sure = marked.where("NOT __unsure").drop("__unsure")
+    rest = marked.where("__unsure").drop("__unsure").join(odd.withColumnsRenamed({"key": "__key", "least": "__least", "n": "__n"}), F.col(id_col).cast("long") == F.col("__key"), "left")
+    rest = rest.where(F.col("__key").isNull() | (F.col("__key") == F.col("__least"))).drop("__key", "__least")
+    again = rest.where("__n > 1").dropDuplicates([id_col])
+    return sure.union(rest.where("__n IS NULL OR __n = 1").drop("__n")).union(again.drop("__n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, running_total, spread, stable, word_count
+from .common import WORD, bucket_count, running_total, spread, stable, word_count
 
 #: Weights of the sources in the order of their names; the list repeats.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -53,3 +53,35 @@ def plan_mix(docs: DataFrame, size: Column | None = None, weights: tuple[float,
     rest = budget - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
     return run.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 17) -> DataFrame:
+    """The documents of the mix (see plan_mix), with the columns of docs: a row for each time a document is used.
+
+    The order of a source's documents is fixed by key and id, so one cut a source tells which
+    of them get an epoch more, and each row is decided where it lies: texts are not shuffled. The
+    document at the cut keeps the words up to it, parted by single blanks. Rows alike in id and size
+    stand at one place, so a cut there falls in all of them. n_chars, where there is one, follows the text.
+    """
+    size = word_count(F.col("text"))
+    plan = stable(plan_mix(docs, None, weights, epochs, seed).withColumn("key", spread(F.lit(seed), F.col("doc_id"), F.col("size"))))
+    budget = F.floor("target")
+    plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0))
+    plan = plan.withColumn("more", F.col("taken") - F.col("whole") * F.col("size"))
+    place = F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
+    used = F.when((F.col("more") > 0) & (F.col("size") > 0), F.struct(place.alias("place"), F.col("more").alias("more")))
+    cuts = plan.groupBy("source").agg(F.max("whole").alias("__whole"), F.max(used).alias("__cut")).withColumnRenamed("source", "__source")
+    d = docs.withColumn("__size", size).join(cuts, F.col("source").eqNullSafe(F.col("__source")))
+    here = F.struct(spread(F.lit(seed), F.col("doc_id"), F.col("__size")).alias("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
+    last, more = F.col("__cut")["place"], F.col("__cut")["more"]
+    part = F.when(here < last, F.col("__size")).when(here == last, more).otherwise(0)
+    part = F.when(F.col("__cut").isNull(), 0).otherwise(part)
+    d = d.withColumn("__part", part)
+    times = F.col("__whole") + (F.col("__part") > 0).cast("long")
+    d = d.where((times > 0) & (F.col("__size") > 0)).withColumn("__n", F.explode(F.sequence(F.lit(1), times)))
+    cut = (F.col("__n") > F.col("__whole")) & (F.col("__part") < F.col("__size"))
+    text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit("(" + WORD + ")")), 1, F.greatest(F.lit(1), F.col("__part")).cast("int")), " ")).otherwise(F.col("text"))
+    d = d.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return d.select(*docs.columns)

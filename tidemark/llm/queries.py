@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, jaccard, kdshards, mixing, nbsvm, packing, secrets, topk, urlrules
+from . import audio, jaccard, kdshards, mixing, nbsvm, packing, quotes, secrets, topk, urlrules
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_features(table(spark, sf_dir, "documents"), keep=())
 
 
+def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    return linked.withColumn("own_sha256", F.sha2(F.col("own_text").cast("binary"), 256)).drop("text", "own_text")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -73,6 +78,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_audio": op2_audio,
+    "op3_quotes": op3_quotes,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op6_topk": op6_topk,
