@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,15 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stable
-from .shingles import CHUNK
+from .shingles import Hasher, texts, word_bounds
 
 #: Pieces up to this many tokens are not cut further: a class for each length.
 TAIL = 64
 #: Words whose ids a worker remembers, until it starts anew.
-REMEMBERED = 800_000
-
-_PUNCTUATION = "!#$%&*.,;:?"
-
+REMEMBERED = 1_200_000
 
 def cut(n: int, capacity: int) -> list[int]:
     """Lengths of the pieces of n tokens: whole sequences, then ever smaller unit shares of one.
@@ -42,35 +40,115 @@ def cut(n: int, capacity: int) -> list[int]:
     return out + [n] * (n > 0)
 
 
-class _Words(dict):
-    """Ids of words, as little-endian 32-bit bytes; what stands between blanks is encoded on its own.
+# classes of bytes: white space, letters (bytes of other characters too), punctuation, anything else
+_LETTER, _MARK, _OTHER = 1, 2, 3
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_CLASS[list(b"!#$%&()*+,-./:;=?@")] = _MARK
+
 
-    That equals encoding whole texts with this tokenizer: it drops white space, and no token spans it.
-    Letters followed by ASCII punctuation are two pre-tokens, and case doesn't count, so such words share entries.
+class _Words:
+    """Ids of parts of words, looked up by 64-bit hashes; what white space parts is encoded on its own.
+
+    That equals encoding whole texts with this tokenizer: it drops white space, no token spans
+    it, and case counts only in its special tokens, which hold a `<`. Letters and the ASCII punctuation after
+    them are two pre-tokens, unless a character among the letters is none when normalised:
+    texts with such a word are encoded whole. Two of a million parts share a hash with a chance of 3e-8.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self[""] = b""
-
-    def __missing__(self, word: str) -> bytes:
-        base = word.rstrip(_PUNCTUATION)
-        if base.isalpha() and (len(base) < len(word) or base.isascii() and not base.islower()):
-            out = self[base.lower() if base.isascii() else base] + self[word[len(base) :]]
-        else:
-            out = np.array(self.encode([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-    def ids(self, text: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self[""] = b""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        self.tokenizer, self.hasher = Tokenizer.from_file(path), Hasher()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.start, self.count, self.odd, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool), np.zeros(1 << 18, np.uint32), 0
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, parts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each part, and whether it is letters that don't stay so."""
+        out: list[np.ndarray | None] = [None] * len(parts)
+        odd, plain, rest, tokenize = [False] * len(parts), [], [], self.tokenizer.model.tokenize
+        for i, p in enumerate(parts):
+            if p.isascii():
+                if p.isalpha():
+                    out[i] = np.array([t.id for t in tokenize(p.lower())], np.uint32)
+                else:
+                    rest.append(i)
+            elif unicodedata.normalize("NFC", p).isalpha() and unicodedata.normalize("NFC", p.lower()).isalpha():
+                plain.append(i)
+            else:
+                rest.append(i)
+                odd[i] = True
+        if plain:
+            ids = self.encode([" ".join(parts[i] for i in plain)])[0]
+            at = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+            if len(at) - 1 == len(plain):  # a part has an end at least, so each has one
+                for i, a, b in zip(plain, at[:-1], at[1:], strict=True):
+                    out[i] = ids[a:b]
+            else:
+                rest += plain
+        for i, ids in zip(rest, self.encode([parts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out, odd
+
+    def _learn(self, hashes: list[int], parts: list[str]) -> None:
+        (found, odd), n = self._encoded(parts), len(self.slot)
+        count = np.array([len(f) for f in found], np.int64)
+        while n + len(found) > len(self.start):
+            self.start, self.count, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.odd))
+        while self.used + int(count.sum()) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        here = slice(n, n + len(found))
+        self.count[here], self.odd[here], self.start[here] = count, odd, self.used + np.cumsum(count) - count
+        self.flat[self.used : self.used + int(count.sum())] = np.concatenate(found)
+        self.used += int(count.sum())
+        self.slot.update(zip(hashes, range(n, n + len(found)), strict=True))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        """The ids of each text of the buffer."""
+        start, end = word_bounds(data, offsets)
+        kind = _CLASS[data]
+        seen = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+        letters, others, tags = seen(kind == _LETTER), seen(kind == _OTHER), seen(data == 60)
+        back = np.zeros(len(data), bool)
+        back[1:] = (kind[1:] == _LETTER) & (kind[:-1] == _MARK)
+        back = seen(back)
+        n = letters[end] - letters[start]
+        # letters, then marks: nothing else, and no letter after a mark
+        split = (n > 0) & (n < end - start) & (others[end] == others[start]) & (back[end] == back[start]) & (kind[start] == _LETTER)
+        place = np.arange(len(start)) + np.cumsum(split) - split
+        a, b = np.empty(len(start) + int(split.sum()), np.int64), np.empty(len(start) + int(split.sum()), np.int64)
+        a[place], b[place] = start, np.where(split, start + n, end)
+        a[place[split] + 1], b[place[split] + 1] = (start + n)[split], end[split]
+        hashes = self.hasher.spans(self.hasher.sums(data), a, b)
+        special = np.flatnonzero(tags[b] > tags[a])
+        hashes[special] = np.random.default_rng().integers(0, 2**63, len(special), np.uint64)  # never looked up again
+        kinds, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        kinds = kinds.tolist()
+        if len(self.slot) > REMEMBERED:
+            self._forget()
+        new = [i for i, k in enumerate(kinds) if k not in self.slot]
+        if new:
+            raw, at = data.tobytes(), example[new]
+            self._learn([kinds[i] for i in new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(a[at].tolist(), b[at].tolist(), strict=True)])
+        slots = np.fromiter(map(self.slot.__getitem__, kinds), np.int64, len(kinds))[which]
+        count = self.count[slots]
+        done = np.concatenate([[0], np.cumsum(count)])
+        ids = self.flat[np.repeat(self.start[slots] - done[:-1], count) + np.arange(done[-1])].tobytes()
+        edges = (4 * done[np.searchsorted(a, offsets)]).tolist()
+        whole = set(np.searchsorted(offsets, start[split][self.odd[slots[place[split]]]], "right").tolist())
+        for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            yield self.encode([data[offsets[i] : offsets[i + 1]].tobytes().decode()])[0].astype("<u4").tobytes() if i + 1 in whole else ids[x:y]
 
 
 def _words(path: str) -> _Words:
@@ -94,21 +172,16 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, nth, task = _words(tokenizer), defaultdict(int), TaskContext.get().partitionId()
         for b in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                ids = words.ids(text.as_py() or "") + end
-                doc, n, at = doc.as_py(), len(ids) // 4, 0
-                for length in cut(n, capacity):
-                    part = ids[4 * at : 4 * (at + length)]
-                    rows.append((doc, at, length, zlib.crc32(part), n, task, nth[length], *[np.frombuffer(part, "<u4").astype(np.int32)] * with_ids))
-                    nth[length] += 1
-                    at += length
-                held += len(ids)
-                if held > CHUNK:
-                    yield _batch(rows)
-                    rows, held = [], 0
-            if rows:
+            docs = b.column(0).to_pylist()
+            for at, data, offsets in texts(b.column(1)):
+                rows: list[tuple] = []
+                for doc, ids in zip(docs[at : at + len(offsets) - 1], words.ids(data, offsets), strict=True):
+                    ids, start = ids + end, 0
+                    for length in cut(len(ids) // 4, capacity):
+                        part = ids[4 * start : 4 * (start + length)]
+                        rows.append((doc, start, length, zlib.crc32(part), len(ids) // 4, task, nth[length], *[np.frombuffer(part, "<u4").astype(np.int32)] * with_ids))
+                        nth[length] += 1
+                        start += length
                 yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -28,11 +28,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word; no word reaches from one text into the next."""
+    inside = ~_SPACE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    first[edges] = inside[edges]
+    last[edges - 1] = inside[edges - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 class Hasher:
     """Word and shingle hashes of whole buffers; keeps the powers of its base between calls."""
 
-    def __init__(self, width: int = 5) -> None:
-        self.width = width
+    def __init__(self, width: int = 5, fold: bool = True) -> None:
+        self.width, self.bytes = width, (_LOWER if fold else np.arange(256)).astype(np.uint64) + np.uint64(1)
         self.powers = self.inverses = np.empty(0, np.uint64)
         # fixed odd factors, one for each place in a shingle, and one mark for each shorter length
         self.places = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
@@ -44,24 +56,26 @@ class Hasher:
                 self.powers, self.inverses = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64), dtype=np.uint64)]) for b in (_BASE, _INVERSE))
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of every word in lower case, number of words before each text and after the last)."""
-        n = len(data)
-        if not n:
-            return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-        self._grow(n)
-        inside = ~_SPACE[data]
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
-        edges = offsets[(offsets > 0) & (offsets < n)]
-        first[edges] = inside[edges]
-        last[edges - 1] = inside[edges - 1]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * self.powers[:n], out=sums[1:])
-        hashes = (sums[end] - sums[start]) * self.inverses[start]
-        return mix(hashes + (end - start).astype(np.uint64) * _BASE), np.searchsorted(start, offsets)
+        """(hash of every word, A-Z in lower case where fold is set, number of words before each text and after the last)."""
+        hashes, start, _ = self.words_at(data, offsets)
+        return hashes, np.searchsorted(start, offsets)
+
+    def words_at(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first byte, end) of every word."""
+        start, end = word_bounds(data, offsets)
+        return self.spans(self.sums(data), start, end), start, end
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Running sums of the bytes times powers of the base, from which any run's hash follows."""
+        self._grow(len(data))
+        out = np.empty(len(data) + 1, np.uint64)
+        out[0] = 0
+        np.cumsum(self.bytes[data] * self.powers[: len(data)], out=out[1:])
+        return out
+
+    def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hashes of the runs of bytes from start to end."""
+        return mix((sums[end] - sums[start]) * self.inverses[start] + (end - start).astype(np.uint64) * _BASE)
 
     def shingles(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         """The sorted distinct shingles of each text: of `width` words, or of all where there are fewer; none without words."""
