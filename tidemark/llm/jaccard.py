@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,9 @@ from .shingles import Hasher, mix, set_key, texts
 FREQUENT = 64
 #: At most so many frequent shingles are kept, the most frequent first; the bound on what is broadcast.
 FREQUENT_KEPT = 1 << 20
-#: Places of the bitmap of shingles that are in more than one document, as a power of two: 32 MB to each worker.
+#: Places of the bitmap of shingles that are in more than one document, as a power of two: 16 MB to each worker.
 #: Where it fills up, single ones pass for repeated ones; that costs work and changes no result.
-REPEATED_BITS = 28
+REPEATED_BITS = 27
 #: Sets up to this size index pairs of their frequent shingles; larger ones, and those within
 #: reach of them, index single ones, as pairs would be too many.
 PAIRED_UP_TO = 240
@@ -133,11 +134,11 @@ def _statistics(rows: DataFrame, width: int, bits: int) -> tuple[np.ndarray, np.
     return np.sort(kept["token"].to_numpy(np.uint64)), repeated
 
 
-def _index(rows: DataFrame, width: int, bits: int, prefixes: _Prefixes) -> DataFrame:
+def _index(rows: DataFrame, width: int, bits: int, percent: int, statistics: Broadcast) -> DataFrame:
     """The index, as blobs by kind (rare, common) and range of the key: tokens, set keys, set sizes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = Hasher(width), set()
+        hasher, seen, prefixes = Hasher(width), set(), _Prefixes(percent, *statistics.value)
         held: dict[str, list] = {"rare": [[], [], []], "common": [[], [], []]}
         n = dict.fromkeys(held, 0)
         for b in batches:
@@ -365,13 +366,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     make candidate pairs; those that share pairs of frequent ones (single ones, for large sets)
     make clusters, which are compared in blocks, as are pairs whose cluster is a block at most. Pairs of
     wider clusters are compared one by one. What links is told by the whole sets. The driver holds only
-    frequent shingles (2**20 at most), a bitmap of 2**28 and a filter of 2**27 bits at most.
+    frequent shingles (2**20 at most), a bitmap of 2**27 and a filter of 2**27 bits at most.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # ranges of the keys: 4 for each task that reads, so that each holds a few million tokens
     bits = min(20, max(8, (4 * rows.rdd.getNumPartitions() - 1).bit_length()))
-    prefixes = _Prefixes(percent, *_statistics(rows, width, bits))
-    found = stable(_candidates(_index(rows, width, bits, prefixes), percent))
+    statistics = docs.sparkSession.sparkContext.broadcast(_statistics(rows, width, bits))
+    found = stable(_candidates(_index(rows, width, bits, percent, statistics), percent))
+    statistics.destroy()  # found is written, so no task will ask for these again
     members = _clusters(found)
     all_rows = stable(_sets(rows, width, _key_filter(members.select(F.col("node").alias("key")).distinct()), 3))
     sets = all_rows.where("tokens IS NOT NULL").select("key", "tokens")
