@@ -28,7 +28,7 @@ PAIRED_UP_TO = 240
 #: Sets of a block that is compared with another block in one task.
 BLOCK = 256
 #: Tokens counted or indexed before a task hands on what it holds.
-HELD = 4_000_000
+HELD = 2_000_000
 
 
 class _Prefixes:
@@ -154,7 +154,7 @@ def _index(rows: DataFrame, width: int, bits: int, percent: int, statistics: Bro
                                 x.append(y)
                             n[kind] += len(tokens)
                 for kind in held:
-                    if n[kind] >= HELD // 4:
+                    if n[kind] >= HELD // 2:
                         yield _dealt(kind, bits, *held[kind])
                         held[kind], n[kind] = [[], [], []], 0
         for kind in held:

@@ -68,8 +68,9 @@ class _Words:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.start, self.count, self.odd, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool), np.zeros(1 << 18, np.uint32), 0
+        """Keys in order, and for each the place of its ids in `flat`: some 20 bytes a word."""
+        self.keys, self.start, self.count, self.odd = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint16), np.empty(0, bool)
+        self.flat, self.used = np.zeros(1 << 18, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,18 +102,18 @@ class _Words:
             out[i] = ids
         return out, odd
 
-    def _learn(self, hashes: list[int], parts: list[str]) -> None:
-        (found, odd), n = self._encoded(parts), len(self.slot)
+    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        """Adds parts under their keys, which are in order and new."""
+        found, odd = self._encoded(parts)
         count = np.array([len(f) for f in found], np.int64)
-        while n + len(found) > len(self.start):
-            self.start, self.count, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.odd))
-        while self.used + int(count.sum()) > len(self.flat):
+        total = int(count.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        here = slice(n, n + len(found))
-        self.count[here], self.odd[here], self.start[here] = count, odd, self.used + np.cumsum(count) - count
-        self.flat[self.used : self.used + int(count.sum())] = np.concatenate(found)
-        self.used += int(count.sum())
-        self.slot.update(zip(hashes, range(n, n + len(found)), strict=True))
+        self.flat[self.used : self.used + total] = np.concatenate(found)
+        at = np.searchsorted(self.keys, keys)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(count) - count)
+        self.count, self.odd, self.keys = np.insert(self.count, at, count), np.insert(self.odd, at, odd), np.insert(self.keys, at, keys)
+        self.used += total
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
         """The ids of each text of the buffer."""
@@ -134,17 +135,17 @@ class _Words:
         special = np.flatnonzero(tags[b] > tags[a])
         hashes[special] = np.random.default_rng().integers(0, 2**63, len(special), np.uint64)  # never looked up again
         kinds, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        kinds = kinds.tolist()
-        if len(self.slot) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self._forget()
-        new = [i for i, k in enumerate(kinds) if k not in self.slot]
-        if new:
-            raw, at = data.tobytes(), example[new]
-            self._learn([kinds[i] for i in new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(a[at].tolist(), b[at].tolist(), strict=True)])
-        slots = np.fromiter(map(self.slot.__getitem__, kinds), np.int64, len(kinds))[which]
-        count = self.count[slots]
+        at = np.searchsorted(self.keys, kinds)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != kinds) if len(self.keys) else np.arange(len(kinds))
+        if len(new):
+            raw, one = data.tobytes(), example[new]
+            self._learn(kinds[new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(a[one].tolist(), b[one].tolist(), strict=True)])
+        slots = np.searchsorted(self.keys, kinds)[which]
+        count = self.count[slots].astype(np.int64)
         done = np.concatenate([[0], np.cumsum(count)])
-        ids = self.flat[np.repeat(self.start[slots] - done[:-1], count) + np.arange(done[-1])].tobytes()
+        ids = self.flat[np.repeat(self.start[slots] - done[:-1], count) + np.arange(done[-1])].astype("<u4").tobytes()
         edges = (4 * done[np.searchsorted(a, offsets)]).tolist()
         whole = set(np.searchsorted(offsets, start[split][self.odd[slots[place[split]]]], "right").tolist())
         for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
