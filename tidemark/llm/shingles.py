@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -114,6 +114,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray,
             yield row + a, raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
             a = b
         row += len(c)
+    pa.default_memory_pool().release_unused()  # workers live on, with whatever they have held
 
 
 def set_key(shingles: np.ndarray) -> int:
