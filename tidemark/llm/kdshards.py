@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from .common import SPREAD_BITS, bucket_count, running_total, spread, stable
 
-#: Ranges that a node's span is cut into in each pass of the search for its median.
-BINS = 1024
 #: A cut may miss its weight by this share of a leaf's target.
 TOLERANCE = 0.002
+#: Ranges that a node's span is cut into in each pass of the search for its median, for each of its leaves:
+#: so many that a range of even weight is within the tolerance.
+BINS = 1000
 
 
 @dataclass
@@ -47,13 +48,14 @@ class _Search:
     below: int = 0  # weight of what lies under low
     held: str | None = None
     value: int = 0
+    bins: int = BINS
 
 
 def _medians(rows: DataFrame, node: Column, hunts: dict[int, _Search], slack: float) -> None:
     """Narrows every node's hunt until low is the cut (low == high), or [low, high) is one value that holds it.
 
-    Each pass cuts the ranges into BINS and sums the weights by node and bin, on the map side
-    first; at most nodes times BINS rows reach the driver.
+    Each pass cuts the ranges into BINS for each leaf and sums the weights by node and bin, on the
+    map side first; at most shards times BINS rows reach the driver.
     """
     columns = list(dict.fromkeys(h.column for h in hunts.values()))
     held = list(dict.fromkeys(h.held for h in hunts.values() if h.held))
@@ -86,7 +88,7 @@ def _medians(rows: DataFrame, node: Column, hunts: dict[int, _Search], slack: fl
 
 
 def _width(h: _Search) -> int:
-    return -(-(h.high - h.low) // BINS)
+    return -(-(h.high - h.low) // h.bins)
 
 
 def kd_shards(rows: DataFrame, dims: list[str], shards: int) -> DataFrame:
@@ -112,12 +114,12 @@ def kd_shards(rows: DataFrame, dims: list[str], shards: int) -> DataFrame:
             r, n = stats[k], nodes[k]
             n.dim = max(range(len(dims)), key=lambda i: ((r[f"max_{dims[i]}"] - r[f"min_{dims[i]}"]) / extent[i], -i))
             d = dims[n.dim]
-            hunts[k] = _Search(d, r[f"min_{d}"], r[f"max_{d}"] + 1, r["w"] * (n.leaves // 2) // n.leaves)
+            hunts[k] = _Search(d, r[f"min_{d}"], r[f"max_{d}"] + 1, r["w"] * (n.leaves // 2) // n.leaves, bins=BINS * n.leaves)
         _medians(rows, node, hunts, slack)
         for k, h in hunts.items():
             nodes[k].cut = h.low
             if h.high > h.low:
-                ties[k] = _Search("__tie", 0, 2**SPREAD_BITS, h.wanted, h.below, h.column, h.low)
+                ties[k] = _Search("__tie", 0, 2**SPREAD_BITS, h.wanted, h.below, h.column, h.low, h.bins)
         _medians(rows, node, ties, slack)
         for k, h in ties.items():
             nodes[k].tie = h.high

@@ -90,7 +90,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _SITE_VALUES = ", ".join(f"('{host}{path}', '{host}', '{path}', '{action}')" for action, host, path in SITE_RULES)
 
+
+
+def _secrets_sql(reach: int = secrets.REACH) -> str:
+    """Secret scans in SQL: matches and what stands between them give the places; parts are joined within each document."""
+    keep = {"assign": "length(g[i]) >= 8", "login": "length(g[i]) >= 3", "value": "regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[a-z]') AND regexp_matches(m[i], '[A-Z]')"}
+    found = []
+    for kind, pattern in (secrets.BASE | secrets.WEAK | {"break": secrets.BREAK}).items():
+        p = pattern.replace("'", "''")
+        group = f"regexp_extract_all(t, '{p}', 2)" if "g[i]" in keep.get(kind, "") else "[]"
+        found.append(f"""SELECT doc_id, '{kind}' AS kind, {secrets.KINDS.index(kind) if kind != 'break' else -1} AS rank,
+  (coalesce(list_sum(list_transform(c[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INT AS a, length(m[i]) AS n
+FROM (SELECT *, unnest(range(1, len(m) + 1))::INT AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS c, {group} AS g FROM d)) WHERE {keep.get(kind, 'true')}""")
+    base, weak = (", ".join(f"'{k}'" for k in x) for x in (secrets.BASE, secrets.WEAK))
+    role = "CASE WHEN {0}.kind IN ('access', 'login') THEN 'i' WHEN {0}.kind IN ('assign', 'hex', 'value') THEN 's' ELSE 'e' END"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), p AS ({' UNION ALL '.join(found)}
+), q AS (SELECT *, a + n AS b, (SELECT count(*) FROM p x WHERE x.doc_id = p.doc_id AND x.kind = 'break' AND x.a <= p.a) AS scope FROM p WHERE kind <> 'break'
+), f AS (SELECT *, kind IN ({weak}) AND EXISTS (FROM q x WHERE x.doc_id = q.doc_id AND x.kind IN ({base}) AND x.a < q.b AND q.a < x.b) AS old FROM q
+), w AS (
+  SELECT w.doc_id, w.kind, w.rank, w.a, w.b, bool_or({role.format('o')} = 'i') AS i, bool_or({role.format('o')} = 's') AS s
+  FROM f w JOIN f o ON w.doc_id = o.doc_id AND w.scope = o.scope AND o.a <= w.b + {reach} AND w.a <= o.b + {reach} AND {role.format('w')} <> {role.format('o')}
+  WHERE w.kind IN ({weak}) AND NOT w.old AND NOT o.old GROUP BY ALL
+), z AS (
+  SELECT doc_id, kind, rank, a, b FROM q WHERE kind IN ({base})
+  UNION ALL SELECT doc_id, kind, rank, a, b FROM w WHERE CASE kind WHEN 'login' THEN s WHEN 'value' THEN i ELSE i AND s END
+)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (kind IN ({base})), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank), '') AS spans
+FROM d LEFT JOIN z ON d.doc_id = z.doc_id GROUP BY d.doc_id"""
+
+
 SQL: dict[str, str] = {
+    "op1_secrets": _secrets_sql(),
     "op4_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
