@@ -141,3 +141,27 @@ def test_reports_and_batch(spark, tmp_path):
     assert tl.summary(r.events).first().by_severity == {"low": 0, "medium": 2, "high": 0}
     assert tl.filtered(r.events, "presentation", "high").count() == 0
     assert "Observed:\n  - Slide state" in tl.explained(r.events).first().explanation
+
+
+def test_evidence_and_command_line(spark, tmp_path):
+    from tidemark import cli
+    from tidemark.reporting.evidence import write_evidence
+
+    b = Build().recording("r 1", 8.5).frames("r 1", PREMATURE).segment("r 1", "black", 0, 0.2)
+    s = b.signals(spark)
+    events = analyze(s).events
+
+    def still(source, second, out):
+        if second == 4.5:
+            raise OSError("no such moment")
+        open(out, "w").write(f"{source} {second}")
+
+    got = {x.type: x for x in write_evidence(events, str(tmp_path / "ev"), still=still).collect()}
+    assert got["blackout"].evidence == {} and got["brief_unexpected_slide"].evidence == {"error": "no such moment"}
+    e = got["slide_rollback_pattern"].evidence
+    assert set(e) == {"before_frame", "event_frame", "after_frame", "metadata", "explanation"} and "incident-0003" in e["metadata"]
+    assert '"evidence": {}' in open(e["metadata"]).read() and open(e["before_frame"]).read() == "/media/r 1.mp4 2.0"
+    for name, d in s.tables.items():
+        d.write.parquet(str(tmp_path / f"in/{name}.parquet"))
+    assert cli.main(["batch", str(tmp_path / "in"), "--out-dir", str(tmp_path / "out"), "--lang", "ja"]) == 0
+    assert "r_1/report.md" in (tmp_path / "out/index.md").read_text() and "explanation" in (tmp_path / "out/r_1/report.md").read_text()

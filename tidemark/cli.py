@@ -13,9 +13,9 @@ from .detectors.base import TABLES, Signals
 from .functions.scalar import unique_slugs
 from .plans import analysis, comparison
 from .reporting import documents
+from .reporting.evidence import write_evidence
 from .reporting.texts import LANGUAGES
 from .schema import SEVERITIES
-from . import timeline as tl
 
 
 def load(spark: SparkSession, folder: str) -> Signals:
@@ -46,15 +46,16 @@ def _parser() -> argparse.ArgumentParser:
 
 def _report(signals: Signals, args: argparse.Namespace) -> tuple[list[dict], int]:
     result = analysis.analyze(signals, args.profile, args.experimental_feedback)
-    result.events = result.events.persist()
+    events = result.events = result.events.persist()
     index = analysis.batch_index(result)
     names = [r["recording_id"] for r in result.recordings.select("recording_id").orderBy("recording_id").toLocalIterator()]
     slugs = dict(zip(names, unique_slugs(names), strict=True))
-    documents.write_reports(documents.reports(result, args.lang), args.out_dir, lambda x: slugs[x])
+    own = lambda x: slugs[x]
     if not args.no_evidence:
-        tl.evidence_plan(result.events, args.min_severity_for_evidence).write.mode("overwrite").json(f"{args.out_dir}/evidence_plan")
+        result.events = write_evidence(result.events, f"{args.out_dir}/evidence", args.min_severity_for_evidence, names=own)
+    documents.write_reports(documents.reports(result, args.lang), args.out_dir, own)
     rows = documents.index_rows(index, slugs)
-    result.events.unpersist()
+    events.unpersist()
     signals.release()
     return rows, sum(not r["ok"] for r in rows)
 
