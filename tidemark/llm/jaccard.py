@@ -309,8 +309,9 @@ def _clusters(found: DataFrame) -> DataFrame:
     tag = F.when(F.col("kind") == "common", F.lit(_TAG)).otherwise(F.lit(0))
     joined = components(found.select(F.col("u").bitwiseXOR(tag).alias("u"), F.col("v").bitwiseXOR(tag).alias("v")))
     nodes = found.select("kind", F.explode(F.array("u", "v")).alias("node")).distinct()
-    placed = nodes.join(joined.withColumnRenamed("node", "tagged"), F.col("node").bitwiseXOR(tag) == F.col("tagged")).drop("tagged")
-    return stable(placed.join(placed.groupBy("kind", "component").agg(F.count(F.lit(1)).alias("size")), ["kind", "component"]))
+    placed = stable(nodes.join(joined.withColumnRenamed("node", "tagged"), F.col("node").bitwiseXOR(tag) == F.col("tagged")).drop("tagged"))
+    sizes = stable(placed.groupBy("kind", "component").agg(F.count(F.lit(1)).alias("size")))
+    return stable(placed.join(sizes, ["kind", "component"]))
 
 
 def _verified_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -384,8 +385,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = links.union(_verified_pairs(pairs, sets.dropDuplicates(["key"]), percent))
     joined = components(links)
     least = all_rows.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = least.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written before they meet again, so that a join on a large component is a plain one, which AQE can split
+    named = stable(least.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+    ids = stable(named.groupBy("component").agg(F.min("least").alias("component_id")))
     of_key = named.join(ids, "component").select("key", "component_id")
     out = all_rows.drop("tokens").join(of_key, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

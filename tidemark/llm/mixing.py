@@ -11,6 +11,8 @@ from .common import WORD, bucket_count, running_total, spread, stable, word_coun
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source is used more often than this, and so no document.
 EPOCHS = 3
+#: Cuts of up to this many sources are handed to every task; more are joined by a shuffle of the documents.
+BROADCAST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -71,6 +73,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = E
     place = F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
     used = F.when((F.col("more") > 0) & (F.col("size") > 0), F.struct(place.alias("place"), F.col("more").alias("more")))
     cuts = plan.groupBy("source").agg(F.max("whole").alias("__whole"), F.max(used).alias("__cut")).withColumnRenamed("source", "__source")
+    cuts = stable(cuts)
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
     d = docs.withColumn("__size", size).join(cuts, F.col("source").eqNullSafe(F.col("__source")))
     here = F.struct(spread(F.lit(seed), F.col("doc_id"), F.col("__size")).alias("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
     last, more = F.col("__cut")["place"], F.col("__cut")["more"]
