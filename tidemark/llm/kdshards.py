@@ -73,8 +73,11 @@ def _medians(rows: DataFrame, node: Column, hunts: dict[int, _Search], slack: fl
         if held:
             inside &= F.element_at(F.array(*held), F.greatest(F.lit(1), of(lambda h: held.index(h.held) + 1)).cast("int")) == of(lambda h: h.value)
         sums = v.where(inside).groupBy("node", F.expr("(v - low) div w").alias("bin")).agg(F.sum("size").alias("size"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
+        by_node: dict[int, list] = {}
+        for r in sorted(sums, key=lambda r: r["bin"]):
+            by_node.setdefault(r["node"], []).append(r)
         for k, h in going.items():
-            for r in sorted((r for r in sums if r["node"] == k), key=lambda r: r["bin"]):
+            for r in by_node.get(k, ()):
                 if h.below + r["size"] > h.wanted:
                     h.low, h.high = r["least"], r["most"] + 1
                     if h.wanted - h.below <= slack:
