@@ -28,7 +28,7 @@ PAIRED_UP_TO = 240
 #: Sets of a block that is compared with another block in one task.
 BLOCK = 256
 #: Tokens counted or indexed before a task hands on what it holds.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 class _Prefixes:

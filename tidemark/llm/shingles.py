@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,7 +115,16 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray,
             yield row + a, raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
             a = b
         row += len(c)
-    pa.default_memory_pool().release_unused()  # workers live on, with whatever they have held
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that is free to the system: workers live on, and with them whatever they have held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another allocator than glibc's
+        pass
 
 
 def set_key(shingles: np.ndarray) -> int:
