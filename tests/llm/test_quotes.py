@@ -35,3 +35,22 @@ def test_long_chains_repeats_nulls_and_clashing_columns(spark):
     d = spark.createDataFrame([(1, 0, "a", "t", 9)], SCHEMA + ", parent_turn int")
     assert quotes.link_quotes(d).first().parent_turn is None
     assert not linked(spark, [])
+
+
+def test_trimmed_quotes_are_linked(spark):
+    first = "a\nb\nc\n\nOne here. Two\nhere! Three here.\n\nlast one"
+    asked = ["> a\n> b\nx", "> a\n> b\n> c\n>\n> last one\nx", "> Two here!\nx", "> c\n> [...]\n> last one\nx", "> One here.\n> Two here! Three\n> here.\nx", ">> b\n>> c\nx", "> a\n> q\nx", "> d\n> a\n> b\nx"]
+    rows = [(1, 1, "a", first)] + [(1, 10 + i, "b", t) for i, t in enumerate(asked)]
+    # a later message, and one that says less, are no originals; nor is another conversation
+    rows += [(1, 0, "a", "b"), (1, 90, "a", first), (2, 0, "a", first), (3, 5, "b", "> a\n> b\nx"), (3, 6, "a", first)]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.thread_turn, r.n_linked) for r in linked(spark, rows)}
+    assert [got[1, 10 + i] for i in range(6)] == [(1, 1, 1)] * 6
+    assert got[1, 16] == (None, 16, 0) and got[1, 17] == (1, 1, 1) and got[3, 5] == (None, 5, 0)
+
+
+def test_passages_from_several_messages_and_the_most_of_one(spark):
+    rows = [(1, 0, "a", "a"), (1, 1, "b", "b"), (1, 2, "a", "c"), (1, 3, "b", "> a\n> b\n> c\nx"), (1, 4, "a", "b\nz\nc"), (1, 5, "a", "b\nz\nc"), (1, 6, "b", "> a\n> b\n> c\nx"), (1, 7, "a", "Hm. b\n\na c")]
+    got = {r.turn: r.parent_turn for r in linked(spark, rows)}
+    assert (got[3], got[6]) == (0, 4)
+    d = [(1, 0, "a", "yes. no."), (1, 1, "a", "yes."), (1, 2, "b", "> yes.\nx"), (1, 3, "b", "> no.\nx")]
+    assert {r.turn: r.parent_turn for r in linked(spark, d)} == {0: None, 1: None, 2: 1, 3: 0}

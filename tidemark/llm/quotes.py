@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,8 +15,11 @@ from .common import stable
 _MARK = re.compile(r"^[\x20\t]*((?:>[\x20\t]?)+)(.*)$", re.S)
 _SAID_BY = re.compile(r"^.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\s*:\s*$")
 _BLANK = re.compile(r"\s+")
+_PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
+_END = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])\s*")
+_WORD = re.compile(r"\w")
 
-_PARSED = "own string, depth int, passages array<struct<level:int,hash:string>>, said array<string>"
+_PASSAGES = "array<struct<level:int,hash:string,ways:array<array<string>>>>"
 
 
 def normal(text: str) -> str:
@@ -27,13 +31,25 @@ def digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
 
 
+def sentences(texts: set[str]) -> list[str]:
+    """Hashes of the sentences of normal texts, which differ from those of the same texts as a whole; those without a word are left out."""
+    found = {s for t in texts for s in _END.split(t)}
+    return sorted(digest("\0" + s)[:16] for s in found if _WORD.search(s))
+
+
 def parse(text: str | None) -> tuple[str, int, list[tuple[int, str]], list[str]]:
     """(text without quotes, deepest level, quoted passages as (level, hash), hashes of what it says itself).
 
     A line that starts with n marks `>` is quoted at level n; runs of one level are a passage. A
     line like `... wrote:` right before a quote is part of the quote. A message says its whole own
-    text, its paragraphs and its lines, so any of these can be quoted. A null text is empty.
+    text, its paragraphs, its lines and the sentences of both, so any of these can be quoted. A null text is empty.
     """
+    own, runs = _split(text)
+    return "\n".join(own).strip("\n"), _depth(runs), [(p["level"], p["hash"]) for p in _passages(runs)], _said(own)
+
+
+def _split(text: str | None) -> tuple[list[str], list[tuple[int, list[str]]]]:
+    """(own lines, runs of quoted lines with their level)."""
     own: list[str] = []
     runs: list[tuple[int, list[str]]] = []
     last = 0
@@ -49,17 +65,40 @@ def parse(text: str | None) -> tuple[str, int, list[tuple[int, str]], list[str]]
         else:
             own.append(line)
             last = 0
-    passages = [(level, digest(t)) for level, lines in runs if (t := normal("\n".join(lines)))]
+    return own, runs
+
+
+def _depth(runs: list[tuple[int, list[str]]]) -> int:
+    return max((level for level, _ in runs), default=0)
+
+
+def _passages(runs: list[tuple[int, list[str]]]) -> list[dict]:
+    """Level and hash of each run with text, and its sentences by lines and, where those differ, by paragraphs."""
+    passages = []
+    for level, lines in runs:
+        text = "\n".join(lines)
+        if whole := normal(text):
+            ways = [sentences(set(map(normal, lines)))]
+            if (by_paragraph := sentences(set(map(normal, _PARAGRAPH.split(text))))) not in ways:
+                ways.append(by_paragraph)
+            passages.append({"level": level, "hash": digest(whole), "ways": ways})
+    return passages
+
+
+def _said(own: list[str]) -> list[str]:
     rest = "\n".join(own).strip("\n")
-    parts = {normal(p) for p in [rest, *re.split(r"\n[^\S\n]*\n", rest), *own]} - {""}
-    return rest, max((level for level, _ in runs), default=0), passages, sorted(map(digest, parts))
+    pieces = {normal(p) for p in [*_PARAGRAPH.split(rest), *own]}
+    return sorted([*map(digest, (pieces | {normal(rest)}) - {""}), *sentences(pieces)])
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """messages with own_text, quote_depth, n_quotes, n_linked, parent_turn and thread_turn, in reply order.
 
-    A quoted passage belongs to the first message of its conversation that says it, if that
-    comes before. parent_turn: of the links at the lowest level the latest turn (null: none).
+    A quoted passage belongs to the first message of its conversation that says it as its own text,
+    a paragraph or a line, if that comes before. A passage without one (trimmed, or put together
+    from several places) is linked if earlier messages say more than half of its different
+    sentences, taken by lines or across the lines of a paragraph, whichever finds the larger
+    share; it belongs to the first of those that say the most of them. parent_turn: of the links at the lowest level the latest turn (null: none).
     thread_turn: the turn at the end of the chain of parents, the message's own without one. Rows are
     sorted by conversation, thread, turn: threads lie together, and what is answered stands
     before the answer. Rows that repeat a conversation and turn share the least of their parents.
@@ -68,25 +107,62 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     added = ("own_text", "quote_depth", "n_quotes", "n_linked", "parent_turn", "thread_turn")
     base = messages.drop(*added)
 
-    @F.pandas_udf(_PARSED)
-    def parsed(texts: pd.Series) -> pd.DataFrame:
-        rows = [parse(None if t is None else str(t)) for t in texts]
-        return pd.DataFrame([(o, d, [{"level": a, "hash": h} for a, h in p], s) for o, d, p, s in rows], columns=["own", "depth", "passages", "said"])
+    def read(texts: pd.Series) -> Iterator[tuple[list[str], list[tuple[int, list[str]]]]]:
+        return (_split(None if t is None else str(t)) for t in texts)
+
+    @F.pandas_udf("own string, depth int, n int")
+    def outline(texts: pd.Series) -> pd.DataFrame:
+        rows = [("\n".join(own).strip("\n"), _depth(runs), sum(bool(normal("\n".join(x))) for _, x in runs)) for own, runs in read(texts)]
+        return pd.DataFrame(rows, columns=["own", "depth", "n"])
+
+    @F.pandas_udf(_PASSAGES)
+    def passages(texts: pd.Series) -> pd.Series:
+        return pd.Series([_passages(runs) for _, runs in read(texts)])
+
+    @F.pandas_udf("array<string>")
+    def says(texts: pd.Series) -> pd.Series:
+        return pd.Series([_said(own) for own, _ in read(texts)])
 
-    rows = base.withColumn("__p", parsed(F.col(text_col).cast("string")))
-    rows = rows.withColumns({"own_text": F.col("__p.own"), "quote_depth": F.col("__p.depth"), "n_quotes": F.size("__p.passages")})
+    text = F.col(text_col).cast("string")
+    rows = base.withColumn("__p", outline(text))
+    rows = rows.withColumns({"own_text": F.col("__p.own"), "quote_depth": F.col("__p.depth"), "n_quotes": F.col("__p.n")})
     keys = [F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn")]
-    quoted = rows.where(F.col("n_quotes") > 0).select(*keys, F.explode("__p.passages").alias("q")).select("conv", "turn", "q.level", "q.hash").distinct()
-    quoted = stable(quoted)
-    first = base.withColumn("__p", parsed(F.col(text_col).cast("string"))).select(*keys, F.explode("__p.said").alias("hash"))
-    # only what is quoted at all is looked up; each (conversation, hash) has one first message
-    first = first.join(quoted.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi").groupBy("conv", "hash").agg(F.min("turn").alias("source"))
-    links = quoted.join(first, ["conv", "hash"]).where("source < turn")
+    # no mark, no quote: other rows need not be parsed for theirs
+    quoted = base.where(text.contains(">")).withColumn("__p", passages(text)).select(*keys, F.explode("__p").alias("q"))
+    quoted = stable(quoted.select("conv", "turn", "q.*").distinct())
+    # only what is quoted at all is looked up; of messages that say the same, the first is enough
+    wanted = quoted.select("conv", F.explode(F.concat(F.array("hash"), F.flatten("ways"))).alias("hash")).distinct()
+    said = base.withColumn("__p", says(text)).select(*keys, F.xxhash64("__p").alias("same"), F.explode("__p").alias("hash"))
+    said = stable(said.join(wanted, ["conv", "hash"], "left_semi").groupBy("conv", "hash", "same").agg(F.min("turn").alias("source")))
+    first = said.groupBy("conv", "hash").agg(F.min("source").alias("source"))
+    passage = ["conv", "turn", "level", "hash"]
+    whole = stable(quoted.select(*passage).distinct().join(first, ["conv", "hash"]).where("source < turn").select(*passage, "source"))
+    links = whole.unionByName(_trimmed(quoted.join(whole, passage, "left_anti"), said))
     parent = links.groupBy("conv", "turn").agg(F.countDistinct("level", "hash").alias("n_linked"), F.max_by("source", F.struct(-F.col("level"), "source")).alias("parent_turn"))
     parent = stable(parent)
     return _threads(rows.drop("__p"), parent, conv_col, turn_col).select(*base.columns, *added).orderBy(conv_col, "thread_turn", turn_col)
 
 
+def _trimmed(quoted: DataFrame, said: DataFrame) -> DataFrame:
+    """(conv, turn, level, hash, source) of passages that no message says as a whole, by their sentences.
+
+    What messages say is counted once for each different passage of a conversation. It keeps a
+    first message for each sentence and for each number of sentences said at once, so passages
+    that many messages quote never meet every message that says a part of them.
+    """
+    asked = stable(quoted.select("conv", "turn", "level", "hash", F.explode("ways").alias("way")).where(F.size("way") > 0))
+    parts = asked.select("conv", "way").distinct().select("conv", "way", F.explode("way").alias("hash"))
+    hits = stable(parts.join(said, ["conv", "hash"]))
+    firsts = hits.groupBy("conv", "way", "hash").agg(F.min("source").alias("source")).groupBy("conv", "way").agg(F.collect_list("source").alias("firsts"))
+    most = hits.groupBy("conv", "way", "same").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("source"))
+    most = most.groupBy("conv", "way", "n").agg(F.min("source").alias("source")).groupBy("conv", "way").agg(F.collect_list(F.struct("n", (-F.col("source")).alias("at"))).alias("most"))
+    share = F.size(F.filter("firsts", lambda t: t < F.col("turn"))) / F.size("way")
+    best = F.array_max(F.filter("most", lambda m: -m["at"] < F.col("turn")))
+    found = asked.join(firsts, ["conv", "way"]).join(most, ["conv", "way"]).withColumns({"share": share, "best": best}).where(F.col("share") > 0.5)
+    rank = F.struct("share", F.col("best.n") / F.size("way"), "best.at")
+    return found.groupBy("conv", "turn", "level", "hash").agg((-F.max_by("best.at", rank)).alias("source"))
+
+
 def _threads(rows: DataFrame, parent: DataFrame, conv_col: str, turn_col: str) -> DataFrame:
     """rows with their parent's columns and thread_turn; chains of parents are halved in each round."""
     jump, moved = parent.select("conv", "turn", F.col("parent_turn").alias("thread_turn")), True
