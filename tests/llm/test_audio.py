@@ -63,3 +63,14 @@ def test_segments_keep_their_state_between_the_thresholds():
             if i - start >= 5:
                 want.append((start, i))
     assert a.segments(e) == want and want
+
+
+def test_frames_hold_every_sample(spark):
+    a = audio.Analyzer(audio.Settings())
+    for n in range(192, 192 * 40, 192):
+        assert (a.frames(n) - 1) * 80 < max(n // 2 - 200, 0) + 80 and (a.frames(n) - 1) * 80 + 200 >= n // 2
+    for n in (192, 576, 768, 1920, 4032):
+        texts = ["ab" * (n // 2), "ab" * (n // 2 - 1) + "az", "ab" * (n // 2 - 1)]
+        assert len({a.run(audio.payload(t))[0] for t in texts}) == 3
+    d = spark.createDataFrame([(0, "ab" * 288), (1, "ab" * 287 + "az")], DOCS)
+    assert len({r.feature for r in audio.audio_features(d, keep=()).collect()}) == 2

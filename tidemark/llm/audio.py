@@ -113,8 +113,9 @@ class Analyzer:
         return out
 
     def frames(self, samples: int) -> int:
+        """Frames that hold every sample; the last one may reach into the silence behind them."""
         n = -(-samples * self.up // self.down)
-        return 1 + max(0, n - self.s.frame) // self.s.hop
+        return 1 + -(-max(0, n - self.s.frame) // self.s.hop)
 
     def run(self, data: bytes) -> tuple[bytes, int, list[tuple[int, int]]]:
         """(tensors as an Arrow stream, frames, energy segments as frame spans) of the samples.
