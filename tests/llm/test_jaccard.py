@@ -92,6 +92,14 @@ def test_one_of_each_keeps_the_least_of_every_group(spark):
     assert sorted(r.doc_id for r in again.collect()) == sorted({c for _, _, c in brute(rows)})
 
 
+def test_one_of_each_judges_rows_that_repeat_an_id_or_have_none_by_their_text(spark):
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abce")
+    rows = [(2, a), (5, a + " z"), (5, b), (6, b), (7, c), (7, c), (7, e), (None, e), (None, b + " y"), (None, "q " + c[:50]), (None, "q " + c[:50]), (8, None), (8, None), (None, ""), (None, "")]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, DOCS)).collect()
+    want = [(2, a), (5, b), (7, c), (7, e), (None, "q " + c[:50]), (8, None), (None, ""), (None, "")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_nulls_long_texts_and_empty(spark):
     long = "word " * 100_000
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (4, long), (5, long + "x"), (6, None)]

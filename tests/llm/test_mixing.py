@@ -94,3 +94,16 @@ def test_empty_repeated_and_null_rows(spark):
     assert mixing.plan_mix(d).agg(F.sum("taken")).first()[0] == pytest.approx(18, abs=2)
     big = spark.createDataFrame([(1, "w " * 200_000, "s", "en", 1)], DOCS).withColumn("size", F.lit(9)).withColumn("key", F.lit(1))
     assert mixing.plan_mix(big).first().taken == 200_000
+
+
+@pytest.mark.parametrize("texts", [[f"w{i} b c d e f g" for i in range(30)], ["a b c d e f g"] * 30, ["a b c d e f g"] * 15 + ["b b c d e f g"] * 15])
+@pytest.mark.parametrize("doc_id", [None, 4])
+def test_cuts_among_rows_without_an_id_or_of_one_id_keep_the_budget(spark, doc_id, texts):
+    rows = [(doc_id, t, s, None, None) for s in ("p", "q", "r", None) for t in texts]
+    d = spark.createDataFrame(rows, DOCS)
+    want, got = {}, {}
+    for r in mixing.plan_mix(d).collect():
+        want[r.source] = want.get(r.source, 0) + r.taken
+    for r in mixing.mixed(d).collect():
+        got[r.source] = got.get(r.source, 0) + len(words(r.text))
+    assert got == want and any(n % 7 for n in want.values())

@@ -230,7 +230,8 @@ def _alike(size_a: np.ndarray, size_b: np.ndarray, shared: np.ndarray, percent:
 
 
 def _sets(rows: DataFrame, width: int, wanted: np.ndarray, hashes: int) -> DataFrame:
-    """(doc_id, key, n) of every document, and the set itself, once a task, where its key is in the filter `wanted`."""
+    """(doc_id, row if there is one, key, n) of every document, and the set itself, once a task, where its key is in the filter `wanted`."""
+    names = [c for c in rows.columns if c != "text"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = Hasher(width), set()
@@ -243,9 +244,9 @@ def _sets(rows: DataFrame, width: int, wanted: np.ndarray, hashes: int) -> DataF
                     blobs.append(s.tobytes() if take else None)
                     if take:
                         seen.add(key)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(keys)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "key", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(at, len(keys)) for c in names], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], [*names, "key", "n", "tokens"])
 
-    return rows.mapInArrow(emit, "doc_id long, key long, n long, tokens binary")
+    return rows.mapInArrow(emit, "".join(f"{c} long, " for c in names) + "key long, n long, tokens binary")
 
 
 def _place(keys: np.ndarray, i: int, bits: int) -> np.ndarray:
@@ -369,14 +370,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     wider clusters are compared one by one. What links is told by the whole sets. The driver holds only
     frequent shingles (2**20 at most), a bitmap of 2**27 and a filter of 2**27 bits at most.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), width, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _grouped(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, row if there is one, key, n, component_id) of (doc_id, row if there is one, text).
+
+    component_id is the least doc_id of the component; with rows the least struct of id (null
+    last) and row. Documents without shingles have key 0 and none.
+    """
+    named_rows, rows = rows, rows.select("doc_id", "text")
     # ranges of the keys: 4 for each task that reads, so that each holds a few million tokens
     bits = min(20, max(8, (4 * rows.rdd.getNumPartitions() - 1).bit_length()))
-    statistics = docs.sparkSession.sparkContext.broadcast(_statistics(rows, width, bits))
+    statistics = rows.sparkSession.sparkContext.broadcast(_statistics(rows, width, bits))
     found = stable(_candidates(_index(rows, width, bits, percent, statistics), percent))
     statistics.destroy()  # found is written, so no task will ask for these again
     members = _clusters(found)
-    all_rows = stable(_sets(rows, width, _key_filter(members.select(F.col("node").alias("key")).distinct()), 3))
+    all_rows = stable(_sets(named_rows, width, _key_filter(members.select(F.col("node").alias("key")).distinct()), 3))
     sets = all_rows.where("tokens IS NOT NULL").select("key", "tokens")
     small = (F.col("kind") == "common") | (F.col("size") <= BLOCK)
     links = _verified_clusters(members.where(small), sets, percent)
@@ -384,33 +395,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     pairs = found.where("kind = 'rare'").join(wide, "u", "left_semi").select("u", "v")
     links = links.union(_verified_pairs(pairs, sets.dropDuplicates(["key"]), percent))
     joined = components(links)
-    least = all_rows.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row") if "row" in all_rows.columns else F.col("doc_id")
+    least = all_rows.where("key <> 0").groupBy("key").agg(F.min(order).alias("least"))
     # written before they meet again, so that a join on a large component is a plain one, which AQE can split
     named = stable(least.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
     ids = stable(named.groupBy("component").agg(F.min("least").alias("component_id")))
     of_key = named.join(ids, "component").select("key", "component_id")
-    out = all_rows.drop("tokens").join(of_key, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return all_rows.drop("tokens").join(of_key, "key", "left")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near duplicates: of each component the row of the least id stays; of rows that repeat that id, one.
+    """docs without near duplicates: of each component one row stays, of those of the least id (null: last) any one.
 
-    Rows without an id stand alone and stay. Most rows are told from the removed ones by a
-    filter and stay where they lie; only those it is unsure of are joined by their id.
+    Rows are told apart by a hash of 64 bits of id and text, so rows that repeat an id and those
+    without one are judged each by their own text; of rows alike in both, one stays. Rows without
+    words stand alone; of those alike in id and text one stays, and all that have no id. Most rows
+    are told from the removed ones by a filter and stay where they lie; only those it is unsure of
+    are joined by their hash.
     """
-    found = near_duplicates(docs, width, percent, id_col, text_col)
-    ids = stable(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    odd = ids.where("doc_id <> least OR n > 1").select(F.col("doc_id").alias("key"), "least", "n")
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    row = F.xxhash64(doc_id.isNull(), doc_id, text)
+    found = _grouped(docs.select(doc_id.alias("doc_id"), row.alias("row"), text.alias("text")), width, percent)
+    found = found.where("key <> 0 OR doc_id IS NOT NULL").select("row", F.coalesce("component_id.row", "row").alias("least"))
+    rows = stable(found.groupBy("row").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n")))
+    odd = rows.where("row <> least OR n > 1").select(F.col("row").alias("key"), "least", "n")
     wanted = _key_filter(odd.select("key"))
 
     @F.pandas_udf("boolean")
     def unsure(keys: pd.Series) -> pd.Series:
-        return pd.Series(_in_filter(wanted, keys.fillna(0).to_numpy(np.int64), 3) & keys.notna().to_numpy())
+        return pd.Series(_in_filter(wanted, keys.to_numpy(np.int64), 3))
 
-    marked = docs.withColumn("__unsure", unsure(F.col(id_col).cast("long")))
-    sure = marked.where("NOT __unsure").drop("__unsure")
-    rest = marked.where("__unsure").drop("__unsure").join(odd.withColumnsRenamed({"key": "__key", "least": "__least", "n": "__n"}), F.col(id_col).cast("long") == F.col("__key"), "left")
+    marked = docs.withColumn("__row", row).withColumn("__unsure", unsure("__row"))
+    sure = marked.where("NOT __unsure").drop("__unsure", "__row")
+    rest = marked.where("__unsure").drop("__unsure").join(odd.withColumnsRenamed({"key": "__key", "least": "__least", "n": "__n"}), F.col("__row") == F.col("__key"), "left")
     rest = rest.where(F.col("__key").isNull() | (F.col("__key") == F.col("__least"))).drop("__key", "__least")
-    again = rest.where("__n > 1").dropDuplicates([id_col])
-    return sure.union(rest.where("__n IS NULL OR __n = 1").drop("__n")).union(again.drop("__n"))
+    again = rest.where("__n > 1").dropDuplicates(["__row"])
+    return sure.union(rest.where("__n IS NULL OR __n = 1").drop("__n", "__row")).union(again.drop("__n", "__row"))

@@ -60,24 +60,37 @@ def plan_mix(docs: DataFrame, size: Column | None = None, weights: tuple[float,
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 17) -> DataFrame:
     """The documents of the mix (see plan_mix), with the columns of docs: a row for each time a document is used.
 
-    The order of a source's documents is fixed by key and id, so one cut a source tells which
+    The order of a source's documents is fixed by key, id and a hash of the text, so one cut a source tells which
     of them get an epoch more, and each row is decided where it lies: texts are not shuffled. The
-    document at the cut keeps the words up to it, parted by single blanks. Rows alike in id and size
-    stand at one place, so a cut there falls in all of them. n_chars, where there is one, follows the text.
+    document at the cut keeps the words up to it, parted by single blanks. Rows alike in id and text
+    stand at one place; if a cut falls there, those rows alone meet in a task for each source, to be
+    numbered. n_chars, where there is one, follows the text.
     """
-    size = word_count(F.col("text"))
-    plan = stable(plan_mix(docs, None, weights, epochs, seed).withColumn("key", spread(F.lit(seed), F.col("doc_id"), F.col("size"))))
+    size, columns = word_count(F.col("text")), docs.columns
+    docs = docs.withColumn("__text", F.xxhash64("text"))
+    plan = stable(plan_mix(docs, None, weights, epochs, seed, keep=("__text",)).withColumn("key", spread(F.lit(seed), F.col("doc_id"), F.col("size"))))
     budget = F.floor("target")
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("more", F.col("taken") - F.col("whole") * F.col("size"))
-    place = F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
-    used = F.when((F.col("more") > 0) & (F.col("size") > 0), F.struct(place.alias("place"), F.col("more").alias("more")))
-    cuts = plan.groupBy("source").agg(F.max("whole").alias("__whole"), F.max(used).alias("__cut")).withColumnRenamed("source", "__source")
-    cuts = stable(cuts)
-    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
-    d = docs.withColumn("__size", size).join(cuts, F.col("source").eqNullSafe(F.col("__source")))
-    here = F.struct(spread(F.lit(seed), F.col("doc_id"), F.col("__size")).alias("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
-    last, more = F.col("__cut")["place"], F.col("__cut")["more"]
+    nobody = F.lit(-(2**63))
+    place = F.struct("key", F.coalesce("doc_id", nobody).alias("id"), "__text")
+    used = F.when((F.col("more") > 0) & (F.col("size") > 0), place)
+    cuts = stable(plan.groupBy("source").agg(F.max("whole").alias("__whole"), F.max(used).alias("__cut")).withColumnRenamed("source", "__source"))
+    few = cuts.count() <= BROADCAST_SOURCES
+    # what the rows at a cut get together, and how many they are
+    at = plan.join(F.broadcast(cuts) if few else cuts, F.col("source").eqNullSafe(F.col("__source")) & (place == F.col("__cut")))
+    at = at.groupBy("source").agg(F.sum("more").alias("__more"), F.count(F.lit(1)).alias("__alike")).withColumnRenamed("source", "__at")
+    cuts = stable(cuts.join(at, F.col("__source").eqNullSafe(F.col("__at")), "left").drop("__at"))
+    several = cuts.where("__alike > 1").limit(1).count() > 0
+    d = docs.withColumn("__size", size).join(F.broadcast(cuts) if few else cuts, F.col("source").eqNullSafe(F.col("__source")))
+    here = F.struct(spread(F.lit(seed), F.col("doc_id"), F.col("__size")).alias("key"), F.coalesce("doc_id", nobody).alias("id"), "__text")
+    last = F.col("__cut")
+    number = F.lit(0)
+    if several:
+        alike = F.coalesce((here == last) & (F.col("__alike") > 1), F.lit(False))
+        counted = d.where(alike).withColumn("__number", F.row_number().over(Window.partitionBy("source").orderBy("__text")) - 1)
+        d, number = d.where(~alike).withColumn("__number", F.lit(0)).union(counted), F.col("__number")
+    more = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__more") - number * F.col("__size")))
     part = F.when(here < last, F.col("__size")).when(here == last, more).otherwise(0)
     part = F.when(F.col("__cut").isNull(), 0).otherwise(part)
     d = d.withColumn("__part", part)
@@ -86,6 +99,6 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = E
     cut = (F.col("__n") > F.col("__whole")) & (F.col("__part") < F.col("__size"))
     text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit("(" + WORD + ")")), 1, F.greatest(F.lit(1), F.col("__part")).cast("int")), " ")).otherwise(F.col("text"))
     d = d.withColumn("text", text)
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         d = d.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+    return d.select(*columns)
