@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import jaccard
+from tidemark.llm import common, jaccard
 from tidemark.llm.components import components
+from tidemark.llm import shingles as shingling
 from tidemark.llm.shingles import Hasher, texts
 
 DOCS = "doc_id long, text string"
@@ -72,11 +73,14 @@ def corpus(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("frequent", "block", "paired"), [(64, 256, 240), (4, 16, 240), (3, 8, 30), (2, 300, 0)])
-def test_components_equal_all_pairs(spark, monkeypatch, frequent, block, paired):
+@pytest.mark.parametrize(("frequent", "block", "together", "places"), [(64, 256, 6, 24), (4, 16, 6, 24), (3, 8, 2, 14)])
+def test_components_equal_all_pairs(spark, monkeypatch, frequent, block, together, places):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "PAIRED_UP_TO", paired)
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
+    monkeypatch.setattr(jaccard, "MOST_BITS", places)  # 14: all tokens pass for frequent ones
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
     rows = corpus(frequent)
     d = spark.createDataFrame(rows, DOCS).repartition(5)
     assert sorted(map(tuple, jaccard.near_duplicates(d).collect())) == brute(rows)
@@ -123,6 +127,46 @@ def test_hashes_are_those_of_the_words():
     assert len(set(seen.values())) == len(seen)
 
 
+def complement(n):
+    """The Thue-Morse word of n letters and the one with its letters exchanged, which sums of powers can't tell apart."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [16, 256, 1024, 4096])
+def test_words_made_to_collide_are_told_apart(spark, n):
+    a, b = complement(n)
+    got = jaccard.near_duplicates(spark.createDataFrame([(1, a), (2, b), (3, a.upper())], DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_slices_part_no_word_and_long_texts_hash_as_short_ones(monkeypatch):
+    text = ("é word  other\n" * 40 + "x" * 300 + " ") * 5
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = Hasher().words(data, np.array([0, len(data)]))[0]
+    monkeypatch.setattr(shingling, "CHUNK", 64)
+    assert b"".join(data[a:b].tobytes() for a, b in shingling.slices(data, 64)) == text.encode()
+    assert np.array_equal(Hasher().words(data, np.array([0, len(data)]))[0], whole)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_prefixes_of_sets_alike_share_a_key(percent):
+    rng = np.random.default_rng(percent)
+    universe = rng.permutation(np.unique(rng.integers(0, 2**63, 7000).astype(np.uint64) * np.uint64(2)))
+    for bitmap in (0, 0xAA, 0xFF):  # no frequent tokens, half of them, all
+        p = jaccard._Prefixes(percent, np.full(1 << 13, 255, np.uint8), np.full(1 << 13, bitmap, np.uint8))
+        for n in (1, 2, 3, 4, 5, 6, 9, 30, 200, 1000, 3000):
+            for _ in range(6):
+                s = np.sort(rng.choice(universe[:n], n, replace=False))
+                extra = int(n * (100 - percent) / percent)
+                t = np.sort(np.concatenate([s, rng.choice(universe[n:], extra, replace=False)]))  # just alike
+                if len(s) == len(t):
+                    continue
+                (a, b), (c, d) = p.of(s), p.of(t)
+                assert len(np.intersect1d(a, c)) or len(np.intersect1d(b, d))
+                assert len(b) <= 8 * n + 8
+
+
 def test_connected_components_of_chains_stars_and_cycles(spark):
     rnd = random.Random(14)
     edges = [(i, i + 1) for i in range(100, 300)] + [(1000, i) for i in range(1001, 1100)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)] + [(5, 5)]

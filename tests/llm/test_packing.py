@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.test_jaccard import complement
 from tidemark.llm import packing
 
 pytest.importorskip("public_tokenizers")
@@ -44,6 +45,27 @@ def test_pieces_are_the_tokenizers_ids_and_fill_sequences(spark):
     assert sum(r.length for r in got) > 0.97 * 2048 * (len(by_seq) - 1)
 
 
+def test_words_made_to_collide_get_their_own_ids(spark):
+    t, words = encoder(), [w for n in (1024, 4096) for w in complement(n)]
+    texts = [*words, " ".join(words), "x" * 70_000 + " y"]
+    got = packing.encode_pieces(spark.createDataFrame(list(enumerate(texts)), DOCS).coalesce(1), word_tokenizer(), capacity=1 << 20).collect()
+    for r in got:
+        ids = [*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_a_tokenizer_that_keeps_white_space_encodes_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE({chr(i): i for i in range(32, 127)} | {"ab": 200, " ab": 201}, [("a", "b"), (" ", "ab")]))
+    t.pre_tokenizer = pre_tokenizers.Split("|", "removed")
+    t.save(str(tmp_path / "t.json"))
+    w = packing._Words(str(tmp_path / "t.json"))
+    assert not w.by_parts
+    data = np.frombuffer(b"ab ab", np.uint8)
+    assert np.frombuffer(next(w.ids(data, np.array([0, 5]))), "<u4").tolist() == t.encode("ab ab").ids == [200, 201]
+
+
 def test_cut_covers_every_length():
     for n in [*range(6000), 10**6 + 1]:
         parts = packing.cut(n, 2048)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
-    sc = spark.sparkContext
+    """The folder of spark.checkpoint.dir; where that is unset a temporary one, but only on one machine (tests)."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return named or sc.getCheckpointDir()
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -29,6 +32,26 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key of so many rows is a hot one, or, in a larger table, one of a share of 10**-5 of its rows.
+HOT_ROWS, HOT_SHARE = 1000, 1e-5
+
+
+def by_size(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined to facts, which have one row a key; `count` is how many of the rows have it (and is dropped), total their sum.
+
+    Facts of hot keys are handed to every task, so that no task gets all rows of one: there are
+    1 / HOT_SHARE of them at most. The rest is joined by a shuffle. Rows without a fact are left out.
+    facts are read several times, so they should be written.
+    """
+    hot = max(HOT_ROWS, int(total * HOT_SHARE))
+    if not facts.where(F.col(count) >= hot).limit(1).count():
+        return rows.drop(count).join(facts.drop(count), key)
+    others = [c for c in facts.columns if c not in (key, count)]
+    few = rows.drop(count).join(F.broadcast(facts.where(F.col(count) >= hot).drop(count).withColumn("__hot", F.lit(True))), key, "left")
+    rest = few.where("__hot IS NULL").drop("__hot", *others).join(facts.where(F.col(count) < hot).drop(count), key)
+    return few.where("__hot").drop("__hot").unionByName(rest)
+
+
 def word_count(text: Column) -> Column:
     """Number of words in text (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

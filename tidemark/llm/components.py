@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stable
+from .common import by_size, stable
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,18 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes, log(n) rounds or so: every node hands its larger
     neighbours the least of its neighbours and itself, then its smaller ones. Each step is a
-    minimum, summed up on the map side, and a join on the node, of which AQE can split a hub.
+    minimum, summed up on the map side, and a join on the node; the minima of hubs are handed out instead.
     Nodes without an edge do not appear; empty edges give no rows.
     """
     now = stable(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     was = None
-    while (state := now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()) != was:
+    while (state := now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()) != was:
         was = state
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        least = stable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = by_size(both.where("v > u"), least, "u", "n", 2 * state[0]).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         # smaller side: v's neighbours below it, all handed the least of them
-        low = large.groupBy(F.col("v").alias("v")).agg(F.min("u").alias("m"))
+        low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct()
         now = stable(small)
     return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select(F.col("u"), F.col("u"))).distinct()

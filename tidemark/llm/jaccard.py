@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
+import bisect
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stable
+from .common import by_size, stable
 from .components import components
 from .shingles import Hasher, mix, set_key, texts
 
-#: A shingle in at least this many texts is frequent.
+#: A shingle in at least this many texts is frequent (255 at most).
 FREQUENT = 64
-#: At most so many frequent shingles are kept, the most frequent first; the bound on what is broadcast.
-FREQUENT_KEPT = 1 << 20
-#: Places of the bitmap of shingles that are in more than one document, as a power of two: 16 MB to each worker.
-#: Where it fills up, single ones pass for repeated ones; that costs work and changes no result.
-REPEATED_BITS = 27
-#: Sets up to this size index pairs of their frequent shingles; larger ones, and those within
-#: reach of them, index single ones, as pairs would be too many.
-PAIRED_UP_TO = 240
-#: Sets of a block that is compared with another block in one task.
-BLOCK = 256
+#: Places of the bitmaps of repeated and of frequent shingles, as powers of two: from 2 MB each, growing with
+#: the number of tasks that read, to 128 MB each. Where they fill up, rare shingles pass for frequent
+#: ones and single ones for repeated ones; that costs work and changes no result.
+LEAST_BITS, MOST_BITS = 24, 30
+#: Tokens of a set's prefix that share a part, on average; only within parts are frequent ones combined.
+TOGETHER = 6
+#: Sets of a block that is compared in one task, and their tokens.
+BLOCK, BLOCK_TOKENS = 256, 4_000_000
+#: Sets of a wide cluster that are in all of its blocks.
+PIVOTS = 16
 #: Tokens counted or indexed before a task hands on what it holds.
 HELD = 1_000_000
 
@@ -35,47 +37,65 @@ class _Prefixes:
     """Which tokens of a set go into the index.
 
     All sets order their tokens alike: those of one document alone first, then rare ones, then
-    frequent ones, by hash within each class. Two sets of similarity t share at least l tokens among the
-    first n - ceil(t n) + l of each. With l = 2: either a rare token is shared there, or a pair
-    of frequent ones. With l = 1, for sets that index single frequent tokens: any token. A token
-    of one document is shared with none, so it takes its place and is not indexed.
+    frequent ones, by hash within each class. Two sets of similarity t share at least l tokens
+    among the first n - ceil(t n) + l of each. Rare tokens are indexed singly. Frequent ones are dealt by
+    a hash into m parts and indexed in pairs of one part: of l = m + 1 shared tokens either one is rare or two
+    frequent ones share a part. m grows with the size, so that a long prefix has no more pairs a token than a short one.
+    Both sets must deal alike, so sizes form classes of ratio t, and a set is
+    indexed for its own class and for the one below; two sets alike are at most a class apart. A token of one document is shared with none, so it
+    takes its place and is not indexed.
     """
 
-    def __init__(self, percent: int, frequent: np.ndarray, repeated: np.ndarray) -> None:
-        self.percent, self.frequent, self.repeated = percent, frequent, repeated
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(frequent >> np.uint64(24)).astype(np.int64)] = True
+    def __init__(self, percent: int, repeated: np.ndarray, frequent: np.ndarray) -> None:
+        self.percent, self.repeated, self.frequent = percent, repeated, frequent
+        self.shift = np.uint64(64 - (len(repeated) * 8 - 1).bit_length())
+        self.bounds = [1]  # least size of each class
+        while self.bounds[-1] < 1 << 40:
+            self.bounds.append(self.bounds[-1] * 100 // percent + 1)
 
-    def is_repeated(self, s: np.ndarray) -> np.ndarray:
-        at = s >> np.uint64(64 - REPEATED_BITS)
-        return (self.repeated[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+    def _least_shared(self, n: int) -> int:
+        return -(-self.percent * n // 100)
 
-    def is_frequent(self, s: np.ndarray) -> np.ndarray:
-        out = self.maybe[(s >> np.uint64(48)).astype(np.int64)]
-        at = np.flatnonzero(out)
-        if len(at):
-            short = s[at] >> np.uint64(24)
-            i = np.minimum(np.searchsorted(self.frequent, short), len(self.frequent) - 1)
-            out[at] = self.frequent[i] == short
-        return out
+    def parts(self, kind: int) -> int:
+        """Parts for the sets of a size class; 0 where one shared token is all that can be counted on."""
+        low, high = self.bounds[kind], self.bounds[kind + 1]
+        return min(max(1, (high - self._least_shared(high)) // TOGETHER), self._least_shared(low) - 1)
+
+    def _marked(self, s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+        at = s >> self.shift
+        return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
 
     def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rare tokens, keys of frequent tokens) to index for the sorted set s."""
         n = len(s)
-        again = s[self.is_repeated(s)]
-        length = n - (self.percent * n + 99) // 100 + 2 - (n - len(again))
-        if length <= 0:
+        again = s[self._marked(s, self.repeated)]
+        own = bisect.bisect_right(self.bounds, n) - 1
+        alone, kinds = n - len(again), [k for k in (own, own - 1) if k >= 0]
+        lengths = [n - self._least_shared(n) + 1 + self.parts(k) - alone for k in kinds]
+        if max(lengths) <= 0:
             return again[:0], again[:0]
-        common = self.is_frequent(again)
-        rare = again[~common][:length]
-        left = again[common][: length - len(rare)]
-        keys = []
-        if 2 <= n <= PAIRED_UP_TO and len(left) > 1:
-            i, j = np.triu_indices(len(left), 1)
-            keys.append(mix(left[i] * np.uint64(3) + mix(left[j])))
-        if (n * 100 >= PAIRED_UP_TO * self.percent or n == 1) and len(left):
-            keys.append(mix(left + np.uint64(0x1234567)))
-        return rare, np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        common = self._marked(again, self.frequent)
+        rare, often = again[~common], again[common]
+        keys = [again[:0]]
+        for kind, length in zip(kinds, lengths, strict=True):
+            if length > len(rare):
+                keys.append(_combined(often[: length - len(rare)], self.parts(kind), kind))
+        return rare[: max(lengths)], np.concatenate(keys)
+
+
+def _combined(tokens: np.ndarray, parts: int, kind: int) -> np.ndarray:
+    """Keys of the pairs of tokens within each part; of single ones where there are no parts."""
+    tag = np.uint64(kind * 0x9E3779B97F4A7C15 % 2**64)
+    if not parts:
+        return mix(tokens + tag)
+    part = mix(tokens) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    part, first = part[order], tokens[order] * np.uint64(3) + tag
+    second, at, lag, keys = mix(tokens[order]), np.arange(len(tokens)), 1, [tokens[:0]]
+    while len(at := at[at + lag < len(part)]) and len(at := at[part[at] == part[at + lag]]):
+        keys.append(mix(first[at] + second[at + lag]))
+        lag += 1
+    return np.concatenate(keys)
 
 
 def _dealt(kind: str, bits: int, keys: list[np.ndarray], *others: list[np.ndarray]) -> pa.RecordBatch | None:
@@ -91,54 +111,69 @@ def _dealt(kind: str, bits: int, keys: list[np.ndarray], *others: list[np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], ["kind", "range", "keys", *[f"b{i}" for i in range(len(others))]])
 
 
+def _counted(bits: int, held: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (range, keys, n) of the different tokens given: the keys' 32 bits after the range; those held
+    several times stand last, and n has their numbers (255 at most)."""
+    key, n = np.unique(np.concatenate(held), return_counts=True)
+    where = (key >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((n > 1, where))
+    key, n, where = key[order], np.minimum(n[order], 255).astype(np.uint8), where[order]
+    short = ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    at = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(key)]])
+    rows = [(int(where[a]), short[a:b].tobytes(), n[a:b][n[a:b] > 1].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["range", "keys", "n"])
+
+
 def _joined(blobs: pd.Series, dtype: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(b, dtype) for b in blobs])
 
 
-def _statistics(rows: DataFrame, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(leading 40 bits of the frequent shingles, bitmap of repeated ones by leading bits), counted over all documents."""
+def _statistics(rows: DataFrame, width: int, bits: int, places: int, salt: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the repeated and of the frequent shingles by their leading bits, counted over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, n = Hasher(width), [], 0
+        hasher, held, n = Hasher(width, salt), [], 0
         for b in batches:
             for _, data, offsets in texts(b.column("text")):
                 for s in hasher.shingles(data, offsets):
                     held.append(s)
                     n += len(s)
                 if n >= HELD:
-                    yield _dealt("", bits, held)
+                    yield _counted(bits, held)
                     held, n = [], 0
         if n:
-            yield _dealt("", bits, held)
+            yield _counted(bits, held)
 
     def total(part: pd.DataFrame) -> pd.DataFrame:
-        keys = np.sort(_joined(part["keys"], np.uint32))
+        keys = _joined(part["keys"], np.uint32)
+        n = np.concatenate([np.concatenate([np.ones(len(k) // 4 - len(c), np.uint8), np.frombuffer(c, np.uint8)]) for k, c in zip(part["keys"], part["n"], strict=True)])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
         at = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-        n, which = np.diff(np.concatenate([at, [len(keys)]])), int(part["range"].iloc[0])
-        full = (np.uint64(which) << np.uint64(64 - bits)) | (keys[at].astype(np.uint64) << np.uint64(32 - bits))
-        # neighbours that share the leading 40 bits are one token here; all that matters is that all sets agree
-        short, first = np.unique(full >> np.uint64(24), return_index=True)
-        n = np.add.reduceat(n, first)
-        marks = np.zeros(1 << (REPEATED_BITS - bits), bool)
-        marks[(short[n > 1] >> np.uint64(40 - REPEATED_BITS)).astype(np.int64) & (len(marks) - 1)] = True
-        most = n >= FREQUENT
-        out = pd.DataFrame({"token": short[most].astype(np.int64), "n": n[most], "marks": None})
-        return pd.concat([pd.DataFrame({"token": [which], "n": [0], "marks": [np.packbits(marks).tobytes()]}), out])
-
-    counted = stable(rows.select("text").mapInArrow(count, "kind string, range int, keys binary").groupBy("range").applyInPandas(total, "token long, n long, marks binary"))
-    kept = counted.where("n > 0").orderBy(F.desc("n"), "token").limit(FREQUENT_KEPT).select("token").toPandas()
-    repeated = np.zeros(1 << (REPEATED_BITS - 3), np.uint8)
-    for r in counted.where("n = 0").toLocalIterator():
-        at = r["token"] << (REPEATED_BITS - 3 - bits)
-        repeated[at : at + len(r["marks"])] = np.frombuffer(r["marks"], np.uint8)
-    return np.sort(kept["token"].to_numpy(np.uint64)), repeated
-
-
-def _index(rows: DataFrame, width: int, bits: int, percent: int, statistics: Broadcast) -> DataFrame:
+        n = np.add.reduceat(n.astype(np.int64), at)
+        where = (keys[at] >> np.uint32(32 - (places - bits))).astype(np.int64)
+        out = [int(part["range"].iloc[0])]
+        for least in (2, FREQUENT):
+            marks = np.zeros(1 << (places - bits), bool)
+            marks[where[n >= least]] = True
+            out.append(np.packbits(marks).tobytes())
+        return pd.DataFrame([out], columns=["range", "repeated", "frequent"])
+
+    counted = rows.select("text").mapInArrow(count, "range int, keys binary, n binary").groupBy("range").applyInPandas(total, "range int, repeated binary, frequent binary")
+    out = np.zeros((2, 1 << (places - 3)), np.uint8)
+    for r in stable(counted).toLocalIterator():
+        at = r["range"] << (places - 3 - bits)
+        for own, name in zip(out, ("repeated", "frequent"), strict=True):
+            own[at : at + len(r[name])] = np.frombuffer(r[name], np.uint8)
+    return out[0], out[1]
+
+
+def _index(rows: DataFrame, width: int, bits: int, percent: int, salt: bytes, statistics: Broadcast) -> DataFrame:
     """The index, as blobs by kind (rare, common) and range of the key: tokens, set keys, set sizes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, prefixes = Hasher(width), set(), _Prefixes(percent, *statistics.value)
+        hasher, seen, prefixes = Hasher(width, salt), set(), _Prefixes(percent, *statistics.value)
         held: dict[str, list] = {"rare": [[], [], []], "common": [[], [], []]}
         n = dict.fromkeys(held, 0)
         for b in batches:
@@ -229,12 +264,12 @@ def _alike(size_a: np.ndarray, size_b: np.ndarray, shared: np.ndarray, percent:
     return shared * 100 >= (size_a + size_b - shared) * percent
 
 
-def _sets(rows: DataFrame, width: int, wanted: np.ndarray, hashes: int) -> DataFrame:
+def _sets(rows: DataFrame, width: int, salt: bytes, wanted: np.ndarray, hashes: int) -> DataFrame:
     """(doc_id, row if there is one, key, n) of every document, and the set itself, once a task, where its key is in the filter `wanted`."""
     names = [c for c in rows.columns if c != "text"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = Hasher(width), set()
+        hasher, seen = Hasher(width, salt), set()
         for b in batches:
             for at, data, offsets in texts(b.column("text")):
                 sets = list(hasher.shingles(data, offsets))
@@ -315,21 +350,21 @@ def _clusters(found: DataFrame) -> DataFrame:
     return stable(placed.join(sizes, ["kind", "component"]))
 
 
-def _verified_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) that join, in every cluster, all sets that are alike.
+def _dealt_out(name: str, count: Column) -> Column:
+    """Which of `count` blocks the set called `name` is in."""
+    return F.pmod(F.xxhash64(name), F.greatest(F.lit(1), count)).cast("int")
+
 
-    A cluster of m sets is dealt into m / BLOCK blocks, and every two blocks meet in a task,
-    which holds these alone and gives a forest of the links it finds, not the links.
+def _met(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) that join, in every meeting, all sets that are alike and not of one component.
+
+    placed: (kind, component, x, y, key, joined): a meeting is named by the first four; joined
+    is what the set is known to be joined to. A task holds the sets of one meeting and gives a forest of the links it finds.
     """
-    placed = members.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("kind", "component", F.col("node").alias("key"), "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    met = placed.join(sets.select("key", "tokens"), "key")
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("key")  # a set that copies in other tasks have brought too
-        key, own = part["key"].to_numpy(np.int64), part["own"].to_numpy()
+        part = part.drop_duplicates("key")  # a pivot may be in a block of its own too
+        key, joined = part["key"].to_numpy(np.int64), part["joined"].to_numpy(np.int64)
         sets_ = [np.frombuffer(t, np.uint64) for t in part["tokens"]]
         size = np.array([len(s) for s in sets_], np.int64)
         token, place = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), size)
@@ -347,12 +382,43 @@ def _verified_clusters(members: DataFrame, sets: DataFrame, percent: int) -> Dat
             has[place[a:b], column[a:b] - at] = 1
             shared += has @ has.T
         i, j = np.nonzero(np.triu(_alike(size[:, None], size[None, :], shared.astype(np.int64), percent), 1))
-        if part["low"].iloc[0] != part["high"].iloc[0]:
-            i, j = i[own[i] != own[j]], j[own[i] != own[j]]
+        i, j = i[joined[i] != joined[j]], j[joined[i] != joined[j]]
         u, v = _forest(key[i], key[j]) if len(i) else (key[:0], key[:0])
         return pd.DataFrame({"u": u, "v": v})
 
-    return met.groupBy("kind", "component", "low", "high").applyInPandas(meet, "u long, v long")
+    met = placed.join(sets.select("key", "tokens"), "key")
+    return met.groupBy("kind", "component", "x", "y").applyInPandas(meet, "u long, v long")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(kind, component, x, y, key, joined): each cluster as one block, or several with the same few pivots in all."""
+    placed = members.withColumn("x", F.explode(F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.col("size")) < PIVOTS, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_dealt_out("node", F.col("blocks"))))))
+    return placed.select("kind", "component", "x", F.lit(0).alias("y"), F.col("node").alias("key"), F.col("node").alias("joined"))
+
+
+def _rest(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """(kind, component, x, y, key, joined) of clusters of several blocks whose sets are not all joined by now.
+
+    All but the sets of a cluster's largest component meet one another and that component, in
+    blocks; two sets of one component never need to.
+    """
+    wide = members.where("blocks > 1").join(joined.withColumnRenamed("component", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
+    wide = stable(wide)
+    counts = stable(wide.groupBy("kind", "component", "joined").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("tokens")))
+    main = counts.groupBy("kind", "component").agg(F.max_by("joined", F.struct("n", "joined")).alias("main"), F.count(F.lit(1)).alias("components"), F.sum("n").alias("all"), F.sum("tokens").alias("all_tokens"), F.max(F.struct("n", "joined", "tokens")).alias("m"))
+    main = main.where("components > 1").select("kind", "component", "main", _block_count(F.col("m.n"), F.col("m.tokens")).alias("main_blocks"), _block_count(F.col("all") - F.col("m.n"), F.col("all_tokens") - F.col("m.tokens")).alias("rest_blocks"))
+    d = wide.drop("blocks").join(main, ["kind", "component"])
+    own = _dealt_out("node", F.when(F.col("joined") == F.col("main"), F.col("main_blocks")).otherwise(F.col("rest_blocks")))
+    d = d.withColumns({"own": own, "is_main": F.col("joined") == F.col("main")})
+    # x is a block of the rest; y one of the main component (below 0) or a later one of the rest
+    rest = F.sequence(F.lit(0), F.col("rest_blocks") - 1)
+    as_rest = F.concat(F.transform(F.sequence(F.lit(1), F.col("main_blocks")), lambda y: F.struct(F.col("own").alias("x"), (-y).alias("y"))), F.transform(rest, lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y"))))
+    as_main = F.transform(rest, lambda x: F.struct(x.alias("x"), (-F.col("own") - 1).alias("y")))
+    return d.withColumn("at", F.explode(F.when(F.col("is_main"), as_main).otherwise(as_rest))).select("kind", "component", "at.x", "at.y", F.col("node").alias("key"), "joined")
+
+
+def _block_count(sets: Column, tokens: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(sets / BLOCK), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,10 +431,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Repeated rows count each and share a component. An empty table gives no rows.
 
     Documents with the same set are one node. Nodes that share a rare shingle of their prefixes
-    make candidate pairs; those that share pairs of frequent ones (single ones, for large sets)
-    make clusters, which are compared in blocks, as are pairs whose cluster is a block at most. Pairs of
-    wider clusters are compared one by one. What links is told by the whole sets. The driver holds only
-    frequent shingles (2**20 at most), a bitmap of 2**27 and a filter of 2**27 bits at most.
+    make candidate pairs; those that share a pair of frequent ones make clusters. Clusters of up to a block
+    are compared in one task; pairs whose cluster is wider one by one; wider clusters of frequent
+    pairs in blocks that have a few sets in common, and then once more in blocks, but only what
+    these have not joined. What links is told by the whole sets. The driver holds two bitmaps and a filter of bounded size.
     """
     out = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), width, percent)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -380,28 +446,40 @@ def _grouped(rows: DataFrame, width: int, percent: int) -> DataFrame:
     component_id is the least doc_id of the component; with rows the least struct of id (null
     last) and row. Documents without shingles have key 0 and none.
     """
-    named_rows, rows = rows, rows.select("doc_id", "text")
+    named_rows, rows, salt = rows, rows.select("doc_id", "text"), os.urandom(16)
     # ranges of the keys: 4 for each task that reads, so that each holds a few million tokens
-    bits = min(20, max(8, (4 * rows.rdd.getNumPartitions() - 1).bit_length()))
-    statistics = rows.sparkSession.sparkContext.broadcast(_statistics(rows, width, bits))
-    found = stable(_candidates(_index(rows, width, bits, percent, statistics), percent))
+    tasks = rows.rdd.getNumPartitions()
+    bits = min(20, max(8, (4 * tasks - 1).bit_length()))
+    places = min(MOST_BITS, max(LEAST_BITS, 20 + (tasks - 1).bit_length()))
+    statistics = rows.sparkSession.sparkContext.broadcast(_statistics(rows, width, bits, places, salt))
+    found = stable(_candidates(_index(rows, width, bits, percent, salt, statistics), percent))
     statistics.destroy()  # found is written, so no task will ask for these again
     members = _clusters(found)
-    all_rows = stable(_sets(named_rows, width, _key_filter(members.select(F.col("node").alias("key")).distinct()), 3))
-    sets = all_rows.where("tokens IS NOT NULL").select("key", "tokens")
-    small = (F.col("kind") == "common") | (F.col("size") <= BLOCK)
-    links = _verified_clusters(members.where(small), sets, percent)
-    wide = members.where(~small).select(F.col("node").alias("u"))
+    all_rows = stable(_sets(named_rows, width, salt, _key_filter(members.select(F.col("node").alias("key")).distinct()), 3))
+    sets = all_rows.where("tokens IS NOT NULL").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    sizes = all_rows.where("tokens IS NOT NULL").groupBy(F.col("key").alias("node")).agg(F.first("n").alias("n"))
+    members = members.join(sizes, "node")
+    tokens = members.groupBy("kind", "component").agg(F.sum("n").alias("tokens"))
+    members = stable(members.join(tokens, ["kind", "component"]).withColumn("blocks", _block_count(F.col("size"), F.col("tokens"))))
+    one_by_one = (F.col("kind") == "rare") & (F.col("blocks") > 1)
+    links = _met(_blocks(members.where(~one_by_one)), sets, percent)
+    wide = members.where(one_by_one).select(F.col("node").alias("u"))
     pairs = found.where("kind = 'rare'").join(wide, "u", "left_semi").select("u", "v")
-    links = links.union(_verified_pairs(pairs, sets.dropDuplicates(["key"]), percent))
-    joined = components(links)
+    joined = components(links.union(_verified_pairs(pairs, sets, percent)))
+    frequent = members.where("kind = 'common'")
+    if frequent.where("blocks > 1").limit(1).count():
+        more = _met(_rest(frequent, joined), sets, percent)
+        joined = components(joined.select(F.col("component").alias("u"), F.col("node").alias("v")).union(more))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row") if "row" in all_rows.columns else F.col("doc_id")
-    least = all_rows.where("key <> 0").groupBy("key").agg(F.min(order).alias("least"))
+    least = all_rows.where("key <> 0").groupBy("key").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("rows"))
     # written before they meet again, so that a join on a large component is a plain one, which AQE can split
     named = stable(least.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
-    ids = stable(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    of_key = named.join(ids, "component").select("key", "component_id")
-    return all_rows.drop("tokens").join(of_key, "key", "left")
+    ids = stable(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets")))
+    count = named.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    of_key = by_size(named.select("key", "rows", "component"), ids, "component", "sets", count[0]).select("key", "rows", "component_id")
+    narrow, of_key = all_rows.drop("tokens"), stable(of_key)
+    empty = narrow.where("key = 0").withColumn("component_id", F.lit(None).cast(of_key.schema["component_id"].dataType))
+    return by_size(narrow.where("key <> 0"), of_key, "key", "rows", count[1] or 0).unionByName(empty)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import spread
-from .shingles import Hasher, texts
+from .shingles import CHUNK, Hasher, texts
 
 #: Indicators: byte 1-, 2- and 3-grams share the buckets below RUNS; the last ones stand for runs
 #: of one word (an n-gram of "the word before again", n = 1 to 8).
@@ -25,22 +25,29 @@ EPOCHS, FOLDS, COST = 8, 3, 1.0
 _A, _B = np.uint32(2654435761), np.uint32(2246822519)
 
 
+def _buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the 1-, 2- and 3-grams that begin at each byte."""
+    one = data.astype(np.uint32)
+    two = one[:-1] * _A + one[1:] * _B if len(one) > 1 else one[:0]
+    three = (two[:-1] ^ (two[:-1] >> np.uint32(15))) * _A + one[2:] * _B if len(one) > 2 else one[:0]
+    return one, *((((x ^ (x >> np.uint32(13))) * _A >> np.uint32(9)) % np.uint32(RUNS)) for x in (two, three))
+
+
 def indicators(column: pa.Array | pa.ChunkedArray, hasher: Hasher) -> Iterator[np.ndarray]:
     """For each text the sorted distinct buckets of its n-grams; none for an empty one."""
     for _, data, offsets in texts(column):
-        one = data.astype(np.uint32)
-        two = one[:-1] * _A + one[1:] * _B if len(one) > 1 else one[:0]
-        three = (two[:-1] ^ (two[:-1] >> np.uint32(15))) * _A + one[2:] * _B if len(one) > 2 else one[:0]
-        two, three = ((x ^ (x >> np.uint32(13))) * _A >> np.uint32(9) for x in (two, three))
-        two, three = (x % np.uint32(RUNS) for x in (two, three))
+        # a long text is read in blocks, each with the two bytes after it
+        long = len(offsets) == 2 and len(data) > CHUNK
         word, at = hasher.words(data, offsets)
         same = np.zeros(len(word) + 1, bool)
         same[1:-1] = word[1:] == word[:-1]
-        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        spans = [(0, None)] if long else list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+        grams = None if long else _buckets(data)
+        for i, (a, b) in enumerate(spans):
             seen = np.zeros(BUCKETS, bool)
-            seen[one[a:b]] = True
-            seen[two[a : max(a, b - 1)]] = True
-            seen[three[a : max(a, b - 2)]] = True
+            for block in range(0, len(data), CHUNK) if long else [None]:
+                one, two, three = _buckets(data[block : block + CHUNK + 2]) if long else (x[a : max(a, b - k)] for k, x in enumerate(grams))
+                seen[one] = seen[two] = seen[three] = True
             run = same[at[i] + 1 : at[i + 1]]
             n = 0
             while n < BUCKETS - RUNS and len(run) and run.any():
@@ -159,7 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
 
     # `chosen` has no more than `sample` rows, so each scan task can hold it
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = sorted((r["doc_id"], r["y"], bytes(r["found"])) for r in joined.select("doc_id", "text", "y").mapInArrow(found, "doc_id long, y int, found binary").collect())
+    found_rows = joined.select("doc_id", "text", "y").mapInArrow(found, "doc_id long, y int, found binary")
+    # of rows that repeat an id one counts, so the driver gets no more than `sample`
+    one_each = found_rows.groupBy("doc_id", "y").agg(F.min("found").alias("found"))
+    got = sorted((r["doc_id"], r["y"], bytes(r["found"])) for r in one_each.collect())
     return fit([np.frombuffer(f, np.uint16) for _, _, f in got], np.array([y for _, y, _ in got], np.int64))
 
 

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stable
-from .shingles import Hasher, texts, word_bounds
+from .shingles import CHUNK, LOWER, hash_runs, slices, texts, word_bounds
 
 #: Pieces up to this many tokens are not cut further: a class for each length.
 TAIL = 64
 #: Words whose ids a worker remembers, until it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 1_000_000
 
 def cut(n: int, capacity: int) -> list[int]:
     """Lengths of the pieces of n tokens: whole sequences, then ever smaller unit shares of one.
@@ -40,56 +40,83 @@ def cut(n: int, capacity: int) -> list[int]:
     return out + [n] * (n > 0)
 
 
-# classes of bytes: white space, letters (bytes of other characters too), punctuation, anything else
+# classes of bytes: white space, letters, punctuation, anything else
 _LETTER, _MARK, _OTHER = 1, 2, 3
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
-_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
 _CLASS[list(b"!#$%&()*+,-./:;=?@")] = _MARK
 
+#: Texts by which a tokenizer shows whether the ids of parts add up to those of whole texts.
+_PROBES = ["Alpha beta, gamma.\n\tdelta's  (x) ABC! 1,2 a-b", "One two\r\n\r\n three;four :five...", " Leading and trailing ", "É日本, <s> x<y </s> e\u0301 \u0301f ﬁx", "word " * 40, "CamelCase UPPER lower, MiXed."]
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every part: words, but ASCII letters and the ASCII punctuation after them are two."""
+    start, end = word_bounds(data, offsets)
+    kind = _CLASS[data]
+    seen = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
+    letters, others = seen(kind == _LETTER), seen(kind == _OTHER)
+    back = np.zeros(len(data), bool)
+    back[1:] = (kind[1:] == _LETTER) & (kind[:-1] == _MARK)
+    back = seen(back)
+    n = letters[end] - letters[start]
+    # letters, then marks: nothing else, and no letter after a mark
+    split = (n > 0) & (n < end - start) & (others[end] == others[start]) & (back[end] == back[start]) & (kind[start] == _LETTER)
+    place = np.arange(len(start)) + np.cumsum(split) - split
+    a, b = np.empty(len(start) + int(split.sum()), np.int64), np.empty(len(start) + int(split.sum()), np.int64)
+    a[place], b[place] = start, np.where(split, start + n, end)
+    a[place[split] + 1], b[place[split] + 1] = (start + n)[split], end[split]
+    return a, b
+
 
 class _Words:
-    """Ids of parts of words, looked up by 64-bit hashes; what white space parts is encoded on its own.
+    """Ids of parts of words, each looked up by 128 bits under keys of this process, so that no text can be
+    made to take another part's ids; a part that is new is encoded.
 
-    That equals encoding whole texts with this tokenizer: it drops white space, no token spans
-    it, and case counts only in its special tokens, which hold a `<`. Letters and the ASCII punctuation after
-    them are two pre-tokens, unless a character among the letters is none when normalised:
-    texts with such a word are encoded whole. Two of a million parts share a hash with a chance of 3e-8.
+    Parts add up to whole texts if the tokenizer drops white space, lets no token span it and
+    parts letters from punctuation. Whether it does, and whether it ignores case, it shows on
+    probes; another one encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.hasher = Tokenizer.from_file(path), Hasher()
+        self.tokenizer, self.keys = Tokenizer.from_file(path), (os.urandom(16), os.urandom(16))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # case counts in special tokens, which all hold a `<`
+        special = all("<" in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        one = lambda t: self.encode([t])[0].tolist()
+        self.folds = special and all(one(w.upper()) == one(w) for p in _PROBES for w in p.split() if w.isascii() and "<" not in w)
+        self.model_alone = self.folds and all([t.id for t in self.tokenizer.model.tokenize(w.lower())] == one(w) for p in _PROBES for w in p.split() if w.isascii() and w.isalpha())
+        self.by_parts = True
         self._forget()
+        for p in _PROBES:
+            data = np.frombuffer(p.encode(), np.uint8)
+            own = [data[a:b].tobytes().decode() for a, b in zip(*_parts(data, np.array([0, len(data)])), strict=True)]
+            self.by_parts &= one(p) == [i for part in self.encode(own) for i in part.tolist()]
 
     def _forget(self) -> None:
-        """Keys in order, and for each the place of its ids in `flat`: some 20 bytes a word."""
-        self.keys, self.start, self.count, self.odd = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint16), np.empty(0, bool)
+        """Names in order, and for each the place of its ids in `flat`: some 30 bytes a word."""
+        self.known, self.check, self.start, self.count = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint16)
         self.flat, self.used = np.zeros(1 << 18, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, parts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """The ids of each part, and whether it is letters that don't stay so."""
+    def _encoded(self, parts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(parts)
-        odd, plain, rest, tokenize = [False] * len(parts), [], [], self.tokenizer.model.tokenize
+        plain, rest, tokenize = [], [], self.tokenizer.model.tokenize
         for i, p in enumerate(parts):
-            if p.isascii():
-                if p.isalpha():
-                    out[i] = np.array([t.id for t in tokenize(p.lower())], np.uint32)
-                else:
-                    rest.append(i)
+            if p.isascii() and p.isalpha() and self.model_alone:
+                out[i] = np.array([t.id for t in tokenize(p.lower())], np.uint32)
             elif unicodedata.normalize("NFC", p).isalpha() and unicodedata.normalize("NFC", p.lower()).isalpha():
                 plain.append(i)
             else:
                 rest.append(i)
-                odd[i] = True
         if plain:
             ids = self.encode([" ".join(parts[i] for i in plain)])[0]
             at = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
@@ -100,56 +127,65 @@ class _Words:
                 rest += plain
         for i, ids in zip(rest, self.encode([parts[i] for i in rest]), strict=True):
             out[i] = ids
-        return out, odd
+        return out
 
-    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
-        """Adds parts under their keys, which are in order and new."""
-        found, odd = self._encoded(parts)
+    def _learn(self, names: np.ndarray, check: np.ndarray, parts: list[str]) -> None:
+        """Adds parts under their names, which are in order and new."""
+        found = self._encoded(parts)
         count = np.array([len(f) for f in found], np.int64)
+        if count.max() >= 1 << 16:
+            self.count = self.count.astype(np.uint32)
         total = int(count.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + total] = np.concatenate(found)
-        at = np.searchsorted(self.keys, keys)
+        at = np.searchsorted(self.known, names)
         self.start = np.insert(self.start, at, self.used + np.cumsum(count) - count)
-        self.count, self.odd, self.keys = np.insert(self.count, at, count), np.insert(self.odd, at, odd), np.insert(self.keys, at, keys)
+        self.count, self.check, self.known = np.insert(self.count, at, count), np.insert(self.check, at, check), np.insert(self.known, at, names)
         self.used += total
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
-        """The ids of each text of the buffer."""
-        start, end = word_bounds(data, offsets)
-        kind = _CLASS[data]
-        seen = lambda mask: np.concatenate([[0], np.cumsum(mask)])
-        letters, others, tags = seen(kind == _LETTER), seen(kind == _OTHER), seen(data == 60)
-        back = np.zeros(len(data), bool)
-        back[1:] = (kind[1:] == _LETTER) & (kind[:-1] == _MARK)
-        back = seen(back)
-        n = letters[end] - letters[start]
-        # letters, then marks: nothing else, and no letter after a mark
-        split = (n > 0) & (n < end - start) & (others[end] == others[start]) & (back[end] == back[start]) & (kind[start] == _LETTER)
-        place = np.arange(len(start)) + np.cumsum(split) - split
-        a, b = np.empty(len(start) + int(split.sum()), np.int64), np.empty(len(start) + int(split.sum()), np.int64)
-        a[place], b[place] = start, np.where(split, start + n, end)
-        a[place[split] + 1], b[place[split] + 1] = (start + n)[split], end[split]
-        hashes = self.hasher.spans(self.hasher.sums(data), a, b)
-        special = np.flatnonzero(tags[b] > tags[a])
-        hashes[special] = np.random.default_rng().integers(0, 2**63, len(special), np.uint64)  # never looked up again
-        kinds, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
+        """The ids of each text of the buffer, little-endian; a long text is encoded in slices."""
+        if not self.by_parts:
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                yield self._whole(data[a:b])
+        elif len(data) > 2 * CHUNK and len(offsets) == 2:
+            yield b"".join([next(self._by_parts(data[a:b], np.array([0, b - a]))) for a, b in slices(data)])
+        else:
+            yield from self._by_parts(data, offsets)
+
+    def _whole(self, data: np.ndarray) -> bytes:
+        return self.encode([data.tobytes().decode("utf-8", "replace")])[0].astype("<u4").tobytes()
+
+    def _by_parts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        a, b = _parts(data, offsets)
+        same = data
+        if self.folds:
+            same = LOWER[data]
+            # case counts beside a `<`
+            tags = np.concatenate([[0], np.cumsum(data == 60, dtype=np.int32)])
+            for i in np.flatnonzero(tags[b] > tags[a]).tolist():
+                same[a[i] : b[i]] = data[a[i] : b[i]]
+        name, check = (hash_runs(same, a, b, k) for k in self.keys)
+        kinds, example, which = np.unique(name, return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
             self._forget()
-        at = np.searchsorted(self.keys, kinds)
-        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != kinds) if len(self.keys) else np.arange(len(kinds))
+        at = np.searchsorted(self.known, kinds)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != kinds) if len(self.known) else np.arange(len(kinds))
         if len(new):
             raw, one = data.tobytes(), example[new]
-            self._learn(kinds[new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(a[one].tolist(), b[one].tolist(), strict=True)])
-        slots = np.searchsorted(self.keys, kinds)[which]
+            self._learn(kinds[new], check[one], [raw[i:j].decode("utf-8", "replace") for i, j in zip(a[one].tolist(), b[one].tolist(), strict=True)])
+        slots = np.searchsorted(self.known, kinds)[which]
+        if (self.check[slots] != check).any():  # parts that share a name; two of a million do so with a chance of 3e-8
+            for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                yield self._whole(data[x:y])
+            return
         count = self.count[slots].astype(np.int64)
         done = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.repeat(self.start[slots] - done[:-1], count) + np.arange(done[-1])].astype("<u4").tobytes()
         edges = (4 * done[np.searchsorted(a, offsets)]).tolist()
-        whole = set(np.searchsorted(offsets, start[split][self.odd[slots[place[split]]]], "right").tolist())
-        for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            yield self.encode([data[offsets[i] : offsets[i + 1]].tobytes().decode()])[0].astype("<u4").tobytes() if i + 1 in whole else ids[x:y]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            yield ids[x:y]
 
 
 def _words(path: str) -> _Words:
