@@ -5,10 +5,10 @@ Everything here is made of DataFrame and SQL functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stable
+from .common import by_size, stable
 
 _CASED = lambda words: "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words)
 _VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,8 +32,8 @@ KINDS = [*BASE, *WEAK]
 BREAK = r"\n[\x20\x09\x0D]*\n"
 #: Code points between two parts of one credential at most.
 REACH = 200
-#: Weak spans of up to this many distinct texts are handed to every task; more are joined by a shuffle.
-BROADCAST_TEXTS = 100_000
+#: Spans listed in up to this many characters may be handed to every task, if many rows have their text.
+SMALL = 1024
 
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -65,16 +65,15 @@ def _found(kinds: dict[str, str]) -> Column:
     return F.expr(f"array_sort(concat({', '.join(parts)}))")
 
 
-def _linked(texts: DataFrame, reach: int) -> DataFrame:
-    """(key, weak): for distinct texts (key, __text) the weak candidates that their neighbours complete.
+def _linked(found: DataFrame, reach: int) -> DataFrame:
+    """(key, weak): for distinct texts (key, parts) the weak candidates that their neighbours complete.
 
     A login needs a secret (assign, hex or value) within reach in its scope, a value needs an
     identifier (access or login), an endpoint needs both. A candidate that
     overlaps a base span says nothing new and is left out. The join is on text, scope and ranges of `reach` code points,
     so a pair of parts far apart never meets, and a range of a text bounds what meets.
     """
-    breaks = F.expr(_spans("__text", BREAK, "break", -1))
-    parts = texts.select("key", F.explode(F.concat(_found(BASE | WEAK), breaks)).alias("p")).select("key", "p.*")
+    parts = found.select("key", F.explode("parts").alias("p")).select("key", "p.*")
     scope = F.expr("count_if(kind = 'break') OVER (PARTITION BY key ORDER BY start, rank)")
     parts = stable(parts.withColumn("scope", scope).where("kind <> 'break'"))
     ranges = lambda d, by: d.withColumn("range", F.explode(F.expr(f"sequence((start - {by}) div {reach} - 1, (end + {by}) div {reach})")))
@@ -93,50 +92,79 @@ def _linked(texts: DataFrame, reach: int) -> DataFrame:
     return done.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*span[1:]))).cast(_SPANS).alias("weak"))
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """docs with __base and __weak: arrays of (start, rank, kind, end), end exclusive, in code points; null texts are empty.
-
-    Base spans are found where the rows lie. Texts that may hold linked candidates (those with
-    a base span or a login) are few; each distinct one is examined once.
-    """
+def _read(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with __key and __parts: a name of the text, and all spans and breaks in it, where it has a base span or a login; else null."""
     base = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     hinted = " OR ".join("__text RLIKE '" + p.replace("\\", "\\\\").replace("'", "\\'") + "'" for p in (*BASE.values(), WEAK["login"]))
-    base = base.withColumn("__key", F.when(F.expr(hinted), F.md5(F.col("__text").cast("binary"))))
-    texts = base.where("__key IS NOT NULL").groupBy(F.col("__key").alias("key")).agg(F.first("__text").alias("__text"))
-    weak = stable(_linked(texts, reach)).withColumnRenamed("key", "__key").withColumnRenamed("weak", "__found")
-    weak = F.broadcast(weak) if weak.count() <= BROADCAST_TEXTS else weak
-    out = base.withColumn("__base", F.when(F.col("__key").isNotNull(), _found(BASE)).otherwise(F.expr(f"cast(array() AS {_SPANS})")))
-    out = out.join(weak, "__key", "left")
-    return out.withColumn("__weak", F.coalesce("__found", F.expr(f"cast(array() AS {_SPANS})"))).drop("__key", "__found", "__text")
+    base = base.withColumn("__key", F.when(F.expr(hinted), F.sha2(F.col("__text").cast("binary"), 256)))
+    breaks = F.expr(_spans("__text", BREAK, "break", -1))
+    return base.withColumn("__parts", F.when(F.col("__key").isNotNull(), F.concat(_found(BASE | WEAK), breaks))).drop("__text")
+
+
+def _by_text(read: DataFrame, reach: int) -> DataFrame:
+    """(key, rows, base, weak): for each different text how many rows have it, and its spans in order."""
+    found = stable(read.where("__key IS NOT NULL").groupBy(F.col("__key").alias("key")).agg(F.count(F.lit(1)).alias("rows"), F.first("__parts").alias("parts")))
+    kinds = ", ".join(f"'{k}'" for k in BASE)
+    weak = F.coalesce("weak", F.expr(f"cast(array() AS {_SPANS})"))
+    return found.join(_linked(found, reach), "key", "left").select("key", "rows", F.expr(f"array_sort(filter(parts, s -> s.kind IN ({kinds})))").alias("base"), weak.alias("weak"))
 
 
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _handed(size: Column) -> Column:
+    """Rows of a text, as by_size asks for them; 0 for one with so much to hand out that its rows are better shuffled."""
+    return F.when(size <= SMALL, F.col("rows")).otherwise(F.lit(0))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row (see with_spans).
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row: kind:start:end, end exclusive, in code points.
 
-    A text without any has zeros, the digest of the empty string and empty spans. Equal texts have equal values.
+    Base spans are reported wherever they are, weak ones beside what completes them. A text without
+    any, or null, has zeros, the digest of the empty string and empty spans. Equal texts have equal values.
+    Texts are read once, where they lie; what is joined and shuffled is places of those few that have a
+    base span or a login, each different text once.
     """
-    found = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", reach)
-    counts = {f"n_{k}": F.expr(f"cast(size(filter(__base, s -> s.kind = '{k}')) AS long)") for k in BASE}
-    every = F.array_sort(F.concat("__base", "__weak"))
-    return found.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(_listed(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _listed(every).alias("spans"))
+    rows = stable(_read(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").select("doc_id", "__key", "__parts"))
+    facts = _by_text(rows, reach)
+    counts = {f"n_{k}": F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS long)") for k in BASE}
+    spans = _listed(F.array_sort(F.concat("base", "weak")))
+    facts = facts.select(F.col("key").alias("__key"), _handed(F.length(spans)).alias("rows"), *[c.alias(n) for n, c in counts.items()], F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+    keyed, narrow = stable(facts), rows.drop("__parts")
+    total = keyed.agg(F.sum("rows")).first()[0] or 0
+    some = by_size(narrow.where("__key IS NOT NULL"), keyed, "__key", "rows", total).drop("__key")
+    none = narrow.where("__key IS NULL").select("doc_id", *[F.lit(0).cast("long").alias(n) for n in counts], F.sha2(F.lit(b""), 256).alias("base_sha256"), F.lit("").alias("spans"))
+    return none.unionByName(some)
+
+
+def _cuts(facts: DataFrame) -> DataFrame:
+    """(__key, rows, __cut): what to cut as (start, end) pairs in order; spans that touch become one. Null where nothing is cut."""
+    spans = facts.select("key", "rows", F.explode_outer(F.concat("base", "weak")).alias("s")).select("key", "rows", "s.*")
+    order = Window.partitionBy("key").orderBy("start", "rank")
+    new = (F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+    spans = spans.withColumn("new", F.coalesce(new, F.lit(0)))
+    spans = spans.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spans.groupBy("key", "rows", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    cut = runs.groupBy("key", "rows").agg(F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end")))).alias("__cut"))
+    return cut.select(F.col("key").alias("__key"), _handed(F.size("__cut") * 8).alias("rows"), F.when(F.size("__cut") > 0, F.col("__cut")).alias("__cut"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", reach: int = REACH) -> DataFrame:
-    """docs with every span in text_col, base or linked, replaced by mark; overlapping spans by one. Other columns stay."""
-    found = with_spans(docs, text_col, reach)
-    every = F.array_sort(F.concat("__base", "__weak"))
-    # spans that touch become one: (start, end) pairs, kept in order
-    joined = F.aggregate(
-        every,
-        F.expr("cast(array() AS array<struct<start:int,end:int>>)"),
-        lambda a, s: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] >= s["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    found = found.withColumn("__cut", F.when(F.size("__base") + F.size("__weak") > 0, joined))
+    """docs with every span in text_col, base or linked, replaced by mark; overlapping spans by one. Other columns stay.
+
+    Rows without a base span or login stay where they are; of the others, those of one text meet its
+    spans. The text is cut in stretches of 64 spans first, so many spans in a long one stay cheap.
+    """
+    facts = _by_text(stable(_read(docs.select(text_col), text_col).where("__key IS NOT NULL").select("__key", "__parts")), reach)
+    cuts, read = stable(_cuts(facts)), _read(docs, text_col).drop("__parts")
+    total = cuts.agg(F.sum("rows")).first()[0] or 0
+    some = by_size(read.where("__key IS NOT NULL"), cuts, "__key", "rows", total)
     t = f"`{text_col}`"
-    pieces = f"transform(__cut, (s, i) -> concat(substring({t}, if(i = 0, 1, __cut[i - 1].end + 1), s.start - if(i = 0, 0, __cut[i - 1].end)), '{mark}'))"
+    begin = "if(b = 0, 0, __cut[b * 64 - 1].end)"
+    stretch = f"transform(sequence(0, (size(__cut) - 1) div 64), b -> named_struct('b', b, 'at', {begin}, 't', substring({t}, {begin} + 1, __cut[least(b * 64 + 63, size(__cut) - 1)].end - {begin})))"
+    before = "if(i = z.b * 64, z.at, __cut[i - 1].end)"
+    pieces = f"transform({stretch}, z -> array_join(transform(sequence(z.b * 64, least(z.b * 64 + 63, size(__cut) - 1)), i -> concat(substring(z.t, {before} - z.at + 1, __cut[i].start - {before}), '{mark}')), ''))"
     clean = F.expr(f"concat(array_join({pieces}, ''), substring({t}, element_at(__cut, -1).end + 1))")
-    return found.withColumn(text_col, F.when(F.col("__cut").isNotNull(), clean).otherwise(F.col(text_col))).select(*docs.columns)
+    some = some.withColumn(text_col, F.when(F.col("__cut").isNotNull(), clean).otherwise(F.col(text_col)))
+    return read.where("__key IS NULL").select(*docs.columns).union(some.select(*docs.columns))
