@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 from tidemark.plans import catalogue
@@ -14,8 +15,10 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
 
     def cell(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
+        if isinstance(x, float) and x.is_integer():
+            return int(x)
         return round(x, 6) if isinstance(x, float) else str(x) if not isinstance(x, (int, bool)) else x
 
     return sorted((tuple(cell(x) for x in r) for r in frame.astype(object).values.tolist()), key=str)

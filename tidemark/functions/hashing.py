@@ -15,8 +15,10 @@ def average_hash(values: Column) -> Column:
     The number of values must be a multiple of 64. Null or empty arrays have no hash.
     """
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(values)
-    bits = F.transform(values, lambda x: (x.cast("double") >= mean).cast("long"))
-    words = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / 64).cast("int") - 1), lambda w: F.aggregate(F.slice(bits, w * 64 + 1, 64), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b)))
+    # arrays of one, so that mean and bits are worked out once and not for each value
+    bits = F.transform(F.array(mean), lambda m: F.transform(values, lambda x: (x.cast("double") >= m).cast("long")))
+    count = F.floor(F.size(values) / 64).cast("int")
+    words = F.transform(bits, lambda own: F.transform(F.sequence(F.lit(0), count - 1), lambda w: F.aggregate(F.slice(own, w * 64 + 1, 64), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))))[0]
     return F.when(F.size(values) > 0, words)
 
 

@@ -35,19 +35,31 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
-    d = _events(spark, sf).withColumn("idx", F.expr(f"ms div {WINDOW * 1000}"))
+    return levels_of(_events(spark, sf))
+
+
+def levels_of(events: DataFrame) -> DataFrame:
+    d = events.withColumn("idx", F.expr(f"ms div {WINDOW * 1000}"))
     d = d.groupBy("recording_id", "idx").agg(F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms_db"), F.max("value").alias("peak_db"), F.count_if(F.col("value") >= 100).cast("double").alias("flat_factor"))
     start = F.col("idx") * F.lit(float(WINDOW))
     return d.select("recording_id", "idx", (F.col("idx") * WINDOW * 1000).alias("start_ms"), start.alias("start"), (start + WINDOW).alias("end"), "rms_db", "peak_db", "flat_factor")
 
 
 def _channels(spark: SparkSession, sf: str) -> DataFrame:
-    d = _events(spark, sf).withColumn("idx", F.expr("ms div 86400000"))
+    return channels_of(_events(spark, sf))
+
+
+def channels_of(events: DataFrame) -> DataFrame:
+    d = events.withColumn("idx", F.expr("ms div 86400000"))
     return d.groupBy("recording_id", "idx", "event_type").agg(F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("level"))
 
 
 def _channel_windows(spark: SparkSession, sf: str) -> DataFrame:
-    d = _channels(spark, sf).groupBy("recording_id", "idx").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "level"))).alias("channel_rms_db"))
+    return channel_windows_of(_channels(spark, sf))
+
+
+def channel_windows_of(channels: DataFrame) -> DataFrame:
+    d = channels.groupBy("recording_id", "idx").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "level"))).alias("channel_rms_db"))
     start = F.col("idx") * F.lit(86400.0)
     return d.select("recording_id", "idx", (F.col("idx") * 86400000).alias("start_ms"), start.alias("start"), (start + 86400).alias("end"), "channel_rms_db")
 
@@ -267,7 +279,11 @@ def parse_level_log(spark: SparkSession, sf: str) -> DataFrame:
     return logs.level_windows(lines.select("recording_id", "line_no", "line")).drop("idx")
 
 
-from .catalogue_sql import SQL  # noqa: E402
+from . import product  # noqa: E402
+from .catalogue_sql import SQL as _SQL  # noqa: E402
+from .product_sql import SQL as _PRODUCT_SQL  # noqa: E402
+
+SQL: dict[str, str] = _SQL | _PRODUCT_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -277,4 +293,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         progress_buckets, metadata_diff, psnr_compare, quality_classify, unified_timeline, summary_rollup, timeline_filter, evidence_plan, batch_index, nearest_frame,
         timestamp_format, slugify, i18n_labels, parse_segment_log, parse_level_log,
     )
-}
+} | product.QUERIES

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import shutil
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,13 @@ def frame_pixels(raw: DataFrame, grid: int = 32, fps: float = 2.0, start: float
 
 
 def _values(pixels: str) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(pixels)), lambda i: F.conv(F.hex(F.substring(F.col(pixels), i, F.lit(1))), 16, 10).cast("int"))
+    """The bytes of a column as integers, by one Arrow pass."""
+
+    @F.pandas_udf("array<int>")
+    def numbers(parts: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else np.frombuffer(p, np.uint8).astype(np.int32) for p in parts])
+
+    return numbers(pixels)
 
 
 def frame_samples(frames: DataFrame) -> DataFrame:
@@ -48,8 +56,6 @@ def frame_samples(frames: DataFrame) -> DataFrame:
 
 def pcm_blocks(raw: DataFrame, rate: int = 22050, block: int = 65536) -> DataFrame:
     """(recording_id, block, sample_rate, samples ARRAY<SMALLINT>) of little-endian 16-bit mono samples; an odd last byte is dropped."""
-    import numpy as np
-    import pandas as pd
 
     def run(parts):
         for part in parts:

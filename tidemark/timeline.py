@@ -97,16 +97,21 @@ def nearest_frames(plan: DataFrame, frames: DataFrame, at: str) -> DataFrame:
     """plan with the first frame at or after `at` (frame_idx, frame_time; null where none follows): an as-of join by one sort of both."""
     both = plan.select("recording_id", F.col(at).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast("int").alias("idx"), F.lit(None).cast("double").alias("time")).distinct()
     both = both.unionByName(frames.select("recording_id", F.col("time").alias("__t"), F.lit(1).alias("__side"), "idx", "time"))
-    w = Window.partitionBy("recording_id").orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumns({"frame_idx": F.first("idx", ignorenulls=True).over(w), "frame_time": F.first("time", ignorenulls=True).over(w)}).where("__side = 0")
+    # running the other way, so that the frame is the last one seen: each row is looked at once
+    w = Window.partitionBy("recording_id").orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
+    # of frames at one time the one of least idx
+    both = both.groupBy("recording_id", "__t", "__side").agg(F.min("idx").alias("idx"), F.first("time").alias("time"))
+    found = both.withColumns({"frame_idx": F.last("idx", ignorenulls=True).over(w), "frame_time": F.last("time", ignorenulls=True).over(w)}).where("__side = 0")
     return plan.join(found.select("recording_id", F.col("__t").alias(at), "frame_idx", "frame_time"), ["recording_id", at], "left")
 
 
-def clip_rows(signal: DataFrame, plan: DataFrame, time: str = "start") -> DataFrame:
-    """Rows of a signal that lie in the clips of the plan, with their incident."""
-    p = plan.select(F.col("recording_id").alias("__r"), "incident", "clip_start", "clip_length")
-    inside = (F.col(time) >= F.col("clip_start")) & (F.col(time) <= F.col("clip_start") + F.col("clip_length"))
-    return signal.join(p, (F.col("recording_id") == F.col("__r")) & inside).drop("__r", "clip_start", "clip_length")
+def clip_rows(signal: DataFrame, plan: DataFrame, time: str = "start", width: float = 60.0) -> DataFrame:
+    """Rows of a signal that lie in the clips of the plan, with their incident. They meet by recording and bucket of `width` seconds."""
+    stop = F.col("clip_start") + F.col("clip_length")
+    p = plan.select(F.col("recording_id").alias("__r"), "incident", "clip_start", "clip_length", F.explode(F.sequence(F.floor(F.col("clip_start") / width), F.floor(stop / width))).alias("__b"))
+    inside = (F.col(time) >= F.col("clip_start")) & (F.col(time) <= stop)
+    met = (F.col("recording_id") == F.col("__r")) & (F.floor(F.col(time) / width) == F.col("__b"))
+    return signal.join(p, met & inside).drop("__r", "__b", "clip_start", "clip_length")
 
 
 def explained(timeline: DataFrame) -> DataFrame:
