@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, mixing, nbsvm, packing, secrets
-from tidemark.llm.common import shared_folder, table
+from tidemark.llm.common import delete, exists, shared_folder, table
 from tidemark.llm.queries import GOOD, word_tokenizer
 
 
@@ -45,10 +45,20 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secret_s
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What a stage returns is written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The last stage's rows. What a stage returns is written and read again, in the shared folder unless one is named.
+
+    With a folder of its own, a run that was broken off goes on after the last stage that is whole there, and
+    everything stays; else the rows of a stage are deleted once the next one is written.
+    """
+    named, docs, before = folder is not None, table(spark, sf_dir, "documents"), None
+    folder = folder or f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        out = f"{folder}/{k}-{name}"
+        if not exists(spark, f"{out}/_SUCCESS"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
+        docs = spark.read.parquet(out)
+        if before and not named:
+            delete(spark, before)
+        before = out
     return docs

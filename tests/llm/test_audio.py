@@ -51,6 +51,23 @@ def test_long_clips_in_parts_equal_one_part(monkeypatch):
     assert whole[1:] == parts[1:] and x["start"].to_pylist() == y["start"].to_pylist()
 
 
+def test_filterbank_equals_plain_sums():
+    s = audio.Settings()
+    a, x = audio.Analyzer(s), np.random.default_rng(3).integers(0, 256, 1152).astype(np.uint8)
+    y = np.asarray(a.resampled(x, 0, 200), float)
+    y = (y - y.mean()) * np.hanning(200)
+    k, t = np.arange(129)[:, None], np.arange(200)[None, :]
+    power = (y * np.cos(2 * np.pi * k * t / 256)).sum(1) ** 2 + (y * np.sin(2 * np.pi * k * t / 256)).sum(1) ** 2
+    mel = lambda hz: 2595 * np.log10(1 + hz / 700)
+    edges = 700 * (10 ** (np.linspace(0, mel(4000), 34) / 2595) - 1)
+    want = []
+    for low, top, high in zip(edges, edges[1:], edges[2:]):
+        share = [max(0, min((f - low) / (top - low), (high - f) / (high - top))) for f in np.arange(129) * 8000 / 256]
+        want.append(np.log(np.dot(power, share) + 1e-6))
+    got = pa.ipc.open_stream(a.run(x.tobytes())[0]).read_all()["mel"].combine_chunks().storage.flatten().to_numpy()[:32]
+    assert np.abs(got - want).max() < 1e-3
+
+
 def test_segments_keep_their_state_between_the_thresholds():
     a = audio.Analyzer(audio.Settings())
     e = np.random.default_rng(2).choice([-10.0, -18.0, -20.0, -24.0, -24.1, -40.0], 2000)

@@ -2,6 +2,7 @@
 
 import os
 import re
+import shutil
 
 import pytest
 
@@ -77,10 +78,15 @@ def test_packing_holds_every_token_once(stages):
     assert max(load.values()) <= 2048
 
 
-def test_run_gives_the_last_stages_rows(spark, stages):
+def test_run_gives_the_last_stages_rows(spark, stages, tmp_path):
     # a piece's place depends on which task read its document; all else does not
     pieces = lambda rows: sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows)
-    assert pieces(cp.run(spark, FOLDER).collect()) == pieces(stages[5])
+    folder = str(tmp_path / "run")
+    first = pieces(cp.run(spark, FOLDER, folder).collect())
+    shutil.rmtree(f"{folder}/4-pack")
+    kept = {k: os.path.getmtime(f"{folder}/{k}/_SUCCESS") for k in os.listdir(folder)}
+    assert pieces(cp.run(spark, FOLDER, folder).collect()) == first == pieces(stages[5])
+    assert len(kept) == 4 and all(os.path.getmtime(f"{folder}/{k}/_SUCCESS") == t for k, t in kept.items())
     assert [n for n, _ in cp.STAGES] == ["quality", "near_duplicates", "secret_scan", "mix", "pack"]
     for before, after in zip(stages[:4], stages[1:5], strict=True):
         assert before[0].__fields__ == after[0].__fields__

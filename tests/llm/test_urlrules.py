@@ -50,6 +50,16 @@ def test_index_equals_trying_every_rule(spark):
             assert (r.pattern, r.verdict) == ((want.pattern, want.action) if want else (None, "allow"))
 
 
+def test_signs_that_fold_to_letters_part_tokens_as_the_patterns_see_them():
+    rules = [Rule("block", "/ads^"), Rule("block", "||shop.com^"), Rule("block", "/Track/"), Rule("allow", "|a.b/x|")]
+    index = urlrules.RuleIndex(rules, Counter())
+    rnd = random.Random(11)
+    for _ in range(4000):
+        url = "".join(rnd.choices(["x.com", "shop.com", "/ads", "/Track", "/track/", "a.b/x", "\u212a", "\u0130", "\u017f", "K", "k", "/", "é", "ß"], k=rnd.randint(1, 5)))
+        assert index.best(url) == brute(url, rules)
+    assert index.best("x.com/ads\u212a") == rules[0] and index.best("shop.com\u0130") == rules[1]
+
+
 def test_no_rules_and_no_pages(spark):
     d = spark.createDataFrame([(1, "http://a/b", None), (1, "http://a/b", None)], PAGES)
     assert [r.verdict for r in urlrules.judge(d, []).collect()] == ["allow", "allow"]

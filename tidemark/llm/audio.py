@@ -76,7 +76,7 @@ class Analyzer:
         edges = self._from_mel(np.linspace(0, self._to_mel(s.target / 2), s.mels + 2))
         f = np.fft.rfftfreq(s.fft, 1 / s.target)
         rise, fall = ((f[:, None] - edges[None, :-2]) / np.diff(edges)[None, :-1], (edges[None, 2:] - f[:, None]) / np.diff(edges)[None, 1:])
-        self.bank = np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
+        self.bank = np.maximum(0, np.minimum(rise, fall))
         self.tensor = pa.fixed_shape_tensor(pa.float32(), [s.window, s.mels], dim_names=["frame", "mel"])
 
     @staticmethod
@@ -117,16 +117,17 @@ class Analyzer:
         n = -(-samples * self.up // self.down)
         return 1 + -(-max(0, n - self.s.frame) // self.s.hop)
 
-    def run(self, data: bytes) -> tuple[bytes, int, list[tuple[int, int]]]:
-        """(tensors as an Arrow stream, frames, energy segments as frame spans) of the samples.
+    def run(self, data: bytes) -> tuple[bytes, str, int, list[tuple[int, int]]]:
+        """(tensors as an Arrow stream, their digest, frames, energy segments as frame spans) of the samples.
 
         Each row of the stream holds start, end (seconds) and a window of log-mel frames; the
-        last window is filled up with the floor.
+        last window is filled up with the floor. The digest is of the values in thousandths: they
+        are worked out in double precision, so that the last bits, in which machines differ, don't show.
         """
         s, x = self.s, np.frombuffer(data, np.uint8)
         total = self.frames(len(x))
         floor = np.float32(np.log(1e-6))
-        sink, energy = io.BytesIO(), []
+        sink, energy, digest = io.BytesIO(), [], hashlib.sha256()
         schema = pa.schema([("start", pa.float64()), ("end", pa.float64()), ("mel", self.tensor)])
         with pa.ipc.new_stream(sink, schema) as stream:
             for f in range(0, total, AT_ONCE):
@@ -135,8 +136,9 @@ class Analyzer:
                 cut = np.lib.stride_tricks.sliding_window_view(y, s.frame)[:: s.hop]
                 cut = cut - cut.mean(axis=1, keepdims=True)
                 energy.append(10 * np.log10(np.mean(cut * cut, axis=1) + 1e-9))
-                power = np.abs(np.fft.rfft(cut * self.hann, s.fft)) ** 2
-                mel = np.log(power.astype(np.float32) @ self.bank + np.float32(1e-6))
+                power = np.abs(np.fft.rfft(cut.astype(np.float64) * self.hann, s.fft)) ** 2
+                mel = np.log(power @ self.bank + 1e-6)
+                digest.update(np.rint(mel * 1000).astype("<i4").tobytes())
                 rows = -(-n // s.window)
                 full = np.full((rows * s.window, s.mels), floor, np.float32)
                 full[:n] = mel
@@ -144,7 +146,7 @@ class Analyzer:
                 end = (np.minimum(f + (np.arange(rows) + 1) * s.window, total) - 1) * s.hop / s.target + s.frame / s.target
                 cells = pa.ExtensionArray.from_storage(self.tensor, pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), s.window * s.mels))
                 stream.write_batch(pa.record_batch([pa.array(start), pa.array(end), cells], schema=schema))
-        return sink.getvalue(), total, self.segments(np.concatenate(energy))
+        return sink.getvalue(), digest.hexdigest(), total, self.segments(np.concatenate(energy))
 
     def segments(self, energy: np.ndarray) -> list[tuple[int, int]]:
         """[begin, end) of runs that begin at on_db or more and last while the energy is off_db or more."""
@@ -179,8 +181,8 @@ def audio_features(docs: DataFrame, settings: Settings = Settings(), id_col: str
                 data = payload(text)
                 media = to_wav(data, settings.rate)
                 back = from_wav(media)
-                tensors, frames, spans = analyzer.run(back)
-                feature = f"{frames};{hashlib.sha256(tensors).hexdigest()};" + ",".join(f"{x}-{y}" for x, y in spans)
+                tensors, digest, frames, spans = analyzer.run(back)
+                feature = f"{frames};{digest};" + ",".join(f"{x}-{y}" for x, y in spans)
                 rows.append({"n_bytes": len((text or "").encode("utf-8", "surrogatepass")), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature, "media": media, "tensors": tensors})
                 held += len(media) + len(tensors)
                 if held > 1 << 24 or i + 1 == b.num_rows:

@@ -26,6 +26,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of any store that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """df, written once to the shared checkpoint folder, so that rereads agree and lost executors cost nothing."""
     shared_folder(df.sparkSession)

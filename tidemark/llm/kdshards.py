@@ -144,8 +144,11 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 16
     code = lambda c: F.when(F.col(c).isNull(), -1).otherwise(F.crc32(F.col(c).cast("binary")))
     d = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), code(lang_col).cast("long").alias("__lang"), code(source_col).cast("long").alias("__source"))
-    d = d.withColumns({"__bytes": F.floor(F.log2(F.col("size").cast("double")) * 65536).cast("long"), "__tie": spread(F.col("doc_id"), F.col("text_crc32"), F.col("size"))})
+    d = d.withColumns({"__bytes": F.floor(F.log2(F.col("size").cast("double")) * 65536).cast("long"), "__order": spread(F.col("doc_id"), F.col("text_crc32"), F.col("size"))})
+    # rows of one text stand together where a value is cut, so a cut parts those of one text at most
+    own = F.shiftright("__order", SPREAD_BITS - 20)
+    d = d.withColumn("__tie", F.shiftleft(F.shiftright(spread(F.col("text_crc32"), F.col("size")), 20), 20).bitwiseOR(own))
     d = stable(d)  # numbers only; every pass reads these, not the texts
     placed = kd_shards(d, ["__bytes", "__lang", "__source"], shards)
-    out = running_total(placed, ["shard"], "__tie", ["doc_id", "text_crc32", "size"], F.lit(1), bucket_count(d.count()), "slot")
+    out = running_total(placed, ["shard"], "__order", ["doc_id", "text_crc32", "size"], F.lit(1), bucket_count(d.count()), "slot")
     return out.select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -16,7 +16,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_features(table(spark, sf_dir, "documents"), keep=())
+    return audio.audio_features(table(spark, sf_dir, "documents"), keep=("tensors",))
 
 
 def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,15 +156,15 @@ SELECT doc_id, size, source_size, target,
 FROM e""",
     "op6_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x::DOUBLE) * 1024 >= 67108864)) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+         list_reduce(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
 )
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, try_cast(score AS BIGINT) AS score
 FROM s QUALIFY rank <= 10""",
     "op9_url_rules": f"""
 WITH p AS (

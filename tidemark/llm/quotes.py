@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -107,32 +106,24 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     added = ("own_text", "quote_depth", "n_quotes", "n_linked", "parent_turn", "thread_turn")
     base = messages.drop(*added)
 
-    def read(texts: pd.Series) -> Iterator[tuple[list[str], list[tuple[int, list[str]]]]]:
-        return (_split(None if t is None else str(t)) for t in texts)
-
-    @F.pandas_udf("own string, depth int, n int")
-    def outline(texts: pd.Series) -> pd.DataFrame:
-        rows = [("\n".join(own).strip("\n"), _depth(runs), sum(bool(normal("\n".join(x))) for _, x in runs)) for own, runs in read(texts)]
-        return pd.DataFrame(rows, columns=["own", "depth", "n"])
-
-    @F.pandas_udf(_PASSAGES)
-    def passages(texts: pd.Series) -> pd.Series:
-        return pd.Series([_passages(runs) for _, runs in read(texts)])
-
-    @F.pandas_udf("array<string>")
-    def says(texts: pd.Series) -> pd.Series:
-        return pd.Series([_said(own) for own, _ in read(texts)])
-
-    text = F.col(text_col).cast("string")
-    rows = base.withColumn("__p", outline(text))
-    rows = rows.withColumns({"own_text": F.col("__p.own"), "quote_depth": F.col("__p.depth"), "n_quotes": F.col("__p.n")})
+    @F.pandas_udf(f"own string, depth int, n int, quoted {_PASSAGES}, said array<string>")
+    def parsed(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            own, runs = _split(None if t is None else str(t))
+            quoted = _passages(runs)
+            rows.append(("\n".join(own).strip("\n"), _depth(runs), len(quoted), quoted, _said(own)))
+        return pd.DataFrame(rows, columns=["own", "depth", "n", "quoted", "said"])
+
+    # each text is parsed once; all that follows reads what is written here
+    every = stable(base.withColumn("__p", parsed(F.col(text_col).cast("string"))))
+    rows = every.withColumns({"own_text": F.col("__p.own"), "quote_depth": F.col("__p.depth"), "n_quotes": F.col("__p.n")})
     keys = [F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn")]
-    # no mark, no quote: other rows need not be parsed for theirs
-    quoted = base.where(text.contains(">")).withColumn("__p", passages(text)).select(*keys, F.explode("__p").alias("q"))
+    quoted = every.select(*keys, F.explode("__p.quoted").alias("q"))
     quoted = stable(quoted.select("conv", "turn", "q.*").distinct())
     # only what is quoted at all is looked up; of messages that say the same, the first is enough
     wanted = quoted.select("conv", F.explode(F.concat(F.array("hash"), F.flatten("ways"))).alias("hash")).distinct()
-    said = base.withColumn("__p", says(text)).select(*keys, F.xxhash64("__p").alias("same"), F.explode("__p").alias("hash"))
+    said = every.select(*keys, F.xxhash64("__p.said").alias("same"), F.explode("__p.said").alias("hash"))
     said = stable(said.join(wanted, ["conv", "hash"], "left_semi").groupBy("conv", "hash", "same").agg(F.min("turn").alias("source")))
     first = said.groupBy("conv", "hash").agg(F.min("source").alias("source"))
     passage = ["conv", "turn", "level", "hash"]

@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 RULES_AT_ONCE = 100_000
 
 _TOKEN = re.compile(r"[a-z0-9]+")
+_FOLD = {c: c + 32 for c in range(65, 91)}
+
+
+def tokens_of(text: str) -> list[str]:
+    """ASCII letters and digits in runs, A-Z as a-z. No other sign is folded, as some become letters and would join a run."""
+    return _TOKEN.findall(text.translate(_FOLD))
 
 
 @dataclass(frozen=True)
@@ -45,7 +51,7 @@ class Rule:
         """Literal runs that any URL matching this has as whole tokens: those closed on both sides."""
         bound, out = re.match(r"\|*", self.pattern).end(), []
         end = len(self.pattern) - self.pattern.endswith("|") * (len(self.pattern) > bound)
-        for m in _TOKEN.finditer(self.pattern.lower()):
+        for m in _TOKEN.finditer(self.pattern.translate(_FOLD)):
             before, after = self.pattern[m.start() - 1 : m.start()], self.pattern[m.end() : m.end() + 1]
             closed = (m.start() == bound and bound > 0 or before not in ("", "*")) and (after not in ("", "*") or m.end() == end < len(self.pattern))
             out += [m.group()] * closed
@@ -66,7 +72,7 @@ class RuleIndex:
 
     def best(self, url: str) -> Rule | None:
         found = [*self.always]
-        for t in set(_TOKEN.findall(url.lower())):
+        for t in set(tokens_of(url)):
             found += self.by_token.get(t, ())
         return next((rule for _, regex, rule in sorted(found, key=lambda e: e[0]) if regex.search(url)), None)
 
@@ -107,7 +113,7 @@ def token_counts(base: DataFrame, wanted: set[str]) -> Counter:
         n: Counter = Counter()
         for b in batches:
             for url in b["url"]:
-                n.update(wanted.intersection(_TOKEN.findall(url.lower())))
+                n.update(wanted.intersection(tokens_of(url)))
         yield pd.DataFrame({"token": list(n), "n": list(n.values())}).astype({"token": "object", "n": "int64"})
 
     rows = base.select(F.concat("host", "path").alias("url")).mapInPandas(count, "token string, n long")
