@@ -20,11 +20,15 @@ def components(edges: DataFrame) -> DataFrame:
     was = None
     while (state := now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()) != was:
         was = state
+        # as few partitions as the edges need: every one is a file for each exchange and step
+        k = 1 + state[0] // 100_000
+        now = now.coalesce(k)
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
-        large = by_size(both.where("v > u"), least, "u", "n", 2 * state[0]).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        least = stable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")).coalesce(k))
+        large = by_size(both.where("v > u"), least, "u", "n", 2 * state[0]).select(F.col("m").alias("u"), "v").where("u <> v").coalesce(k)
+        large = stable(large.distinct().coalesce(k))
         # smaller side: v's neighbours below it, all handed the least of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct()
+        small = large.join(low, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").coalesce(k).distinct().coalesce(k)
         now = stable(small)
     return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select(F.col("u"), F.col("u"))).distinct()

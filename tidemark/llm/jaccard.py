@@ -19,10 +19,10 @@ from .shingles import Hasher, mix, set_key, texts
 
 #: A shingle in at least this many texts is frequent (255 at most).
 FREQUENT = 64
-#: Places of the bitmaps of repeated and of frequent shingles, as powers of two: from 2 MB each, growing with
-#: the number of tasks that read, to 128 MB each. Where they fill up, rare shingles pass for frequent
+#: Places of the bitmaps of repeated and of frequent shingles, as powers of two: 16 MB each, growing with
+#: the number of tasks that read, from 1,024 on, to 128 MB each. Where they fill up, rare shingles pass for frequent
 #: ones and single ones for repeated ones; that costs work and changes no result.
-LEAST_BITS, MOST_BITS = 24, 30
+LEAST_BITS, MOST_BITS = 27, 30
 #: Tokens of a set's prefix that share a part, on average; only within parts are frequent ones combined.
 TOGETHER = 6
 #: Sets of a block that is compared in one task, and their tokens.
@@ -450,7 +450,7 @@ def _grouped(rows: DataFrame, width: int, percent: int) -> DataFrame:
     # ranges of the keys: 4 for each task that reads, so that each holds a few million tokens
     tasks = rows.rdd.getNumPartitions()
     bits = min(20, max(8, (4 * tasks - 1).bit_length()))
-    places = min(MOST_BITS, max(LEAST_BITS, 20 + (tasks - 1).bit_length()))
+    places = min(MOST_BITS, max(LEAST_BITS, 17 + (tasks - 1).bit_length()))
     statistics = rows.sparkSession.sparkContext.broadcast(_statistics(rows, width, bits, places, salt))
     found = stable(_candidates(_index(rows, width, bits, percent, salt, statistics), percent))
     statistics.destroy()  # found is written, so no task will ask for these again
