@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import common, jaccard
+from tidemark.llm import components as components_module
 from tidemark.llm.components import components
 from tidemark.llm import shingles as shingling
 from tidemark.llm.shingles import Hasher, texts
@@ -186,3 +187,17 @@ def test_connected_components_of_chains_stars_and_cycles(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("per_task,held", [(7, 1_000_000), (40, 16), (1_000, 1_000_000)])
+def test_components_over_partitions_of_any_size(spark, monkeypatch, per_task, held):
+    monkeypatch.setattr(components_module, "HELD", held)
+    r = random.Random(per_task)
+    edges = [(r.randrange(-90, 90), r.randrange(-90, 90)) for _ in range(70)] + [(1000 + i, 1001 + i) for i in range(60)] + [(3000, 3000 + i) for i in range(50)]
+    label = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in label:
+        for u, v in edges:
+            if u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    got = components(spark.createDataFrame(edges, "u long, v long").repartition(4), per_task).collect()
+    assert len(got) == len(label) and {x.node: x.component for x in got} == label

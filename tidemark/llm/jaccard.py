@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, stable
-from .components import components
+from .components import components, forest
 from .shingles import Hasher, mix, set_key, texts
 
 #: A shingle in at least this many texts is frequent (255 at most).
@@ -213,7 +213,7 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
         if kind == "common":
             first = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1])
             root = np.repeat(key[first], np.diff(np.concatenate([first, [len(token)]])))
-            u, v = _forest(root[root != key], key[root != key])
+            u, v = forest(root[root != key], key[root != key])
             return pd.DataFrame({"kind": kind, "u": u, "v": v})
         us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         at, lag = np.arange(len(token)), 1
@@ -238,24 +238,6 @@ def _distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u[new], v[new]
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the edges: (its least node, another)."""
-    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = ends[: len(u)], ends[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        after = label.copy()
-        for side in (a, b, label[a], label[b]):
-            np.minimum.at(after, side, low)
-        after = after[after]
-        if (after == label).all():
-            break
-        label = after
-    out = label != np.arange(len(nodes))
-    return nodes[label[out]], nodes[out]
-
-
 #: Tells the nodes of one kind of cluster from those of the other.
 _TAG = 0x5DEECE66D1234567
 
@@ -383,7 +365,7 @@ def _met(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             shared += has @ has.T
         i, j = np.nonzero(np.triu(_alike(size[:, None], size[None, :], shared.astype(np.int64), percent), 1))
         i, j = i[joined[i] != joined[j]], j[joined[i] != joined[j]]
-        u, v = _forest(key[i], key[j]) if len(i) else (key[:0], key[:0])
+        u, v = forest(key[i], key[j]) if len(i) else (key[:0], key[:0])
         return pd.DataFrame({"u": u, "v": v})
 
     met = placed.join(sets.select("key", "tokens"), "key")
