@@ -129,8 +129,21 @@ def _joined(blobs: pd.Series, dtype: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(b, dtype) for b in blobs])
 
 
-def _statistics(rows: DataFrame, width: int, bits: int, places: int, salt: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the repeated and of the frequent shingles by their leading bits, counted over all documents."""
+def _bitmaps(packed: list[tuple[bytes, bytes] | None], places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bitmaps of `_statistics`, of 2**places bits each; ranges that hold nothing are zero."""
+    out = np.zeros((2, len(packed), (1 << (places - 3)) // len(packed)), np.uint8)
+    for at, both in enumerate(packed):
+        for own, blob in zip(out, both or (), strict=False):
+            own[at] = np.frombuffer(pa.decompress(blob, own.shape[1], "zstd"), np.uint8)
+    return out[0].reshape(-1), out[1].reshape(-1)
+
+
+def _statistics(rows: DataFrame, width: int, bits: int, places: int, salt: bytes) -> list[tuple[bytes, bytes] | None]:
+    """Bitmaps of the repeated and of the frequent shingles by their leading bits, counted over all documents.
+
+    A pair of compressed parts for each range: most places are empty, so the driver and the broadcast hold a
+    small part of the bitmaps' size. Only tasks unpack them.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, n = Hasher(width, salt), [], 0
@@ -157,23 +170,21 @@ def _statistics(rows: DataFrame, width: int, bits: int, places: int, salt: bytes
         for least in (2, FREQUENT):
             marks = np.zeros(1 << (places - bits), bool)
             marks[where[n >= least]] = True
-            out.append(np.packbits(marks).tobytes())
+            out.append(pa.compress(np.packbits(marks), "zstd", asbytes=True))
         return pd.DataFrame([out], columns=["range", "repeated", "frequent"])
 
     counted = rows.select("text").mapInArrow(count, "range int, keys binary, n binary").groupBy("range").applyInPandas(total, "range int, repeated binary, frequent binary")
-    out = np.zeros((2, 1 << (places - 3)), np.uint8)
+    out: list[tuple[bytes, bytes] | None] = [None] * (1 << bits)
     for r in stable(counted).toLocalIterator():
-        at = r["range"] << (places - 3 - bits)
-        for own, name in zip(out, ("repeated", "frequent"), strict=True):
-            own[at : at + len(r[name])] = np.frombuffer(r[name], np.uint8)
-    return out[0], out[1]
+        out[r["range"]] = bytes(r["repeated"]), bytes(r["frequent"])
+    return out
 
 
-def _index(rows: DataFrame, width: int, bits: int, percent: int, salt: bytes, statistics: Broadcast) -> DataFrame:
+def _index(rows: DataFrame, width: int, bits: int, places: int, percent: int, salt: bytes, statistics: Broadcast) -> DataFrame:
     """The index, as blobs by kind (rare, common) and range of the key: tokens, set keys, set sizes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, prefixes = Hasher(width, salt), set(), _Prefixes(percent, *statistics.value)
+        hasher, seen, prefixes = Hasher(width, salt), set(), _Prefixes(percent, *_bitmaps(statistics.value, places))
         held: dict[str, list] = {"rare": [[], [], []], "common": [[], [], []]}
         n = dict.fromkeys(held, 0)
         for b in batches:
@@ -434,7 +445,7 @@ def _grouped(rows: DataFrame, width: int, percent: int) -> DataFrame:
     bits = min(20, max(8, (4 * tasks - 1).bit_length()))
     places = min(MOST_BITS, max(LEAST_BITS, 17 + (tasks - 1).bit_length()))
     statistics = rows.sparkSession.sparkContext.broadcast(_statistics(rows, width, bits, places, salt))
-    found = stable(_candidates(_index(rows, width, bits, percent, salt, statistics), percent))
+    found = stable(_candidates(_index(rows, width, bits, places, percent, salt, statistics), percent))
     statistics.destroy()  # found is written, so no task will ask for these again
     members = _clusters(found)
     all_rows = stable(_sets(named_rows, width, salt, _key_filter(members.select(F.col("node").alias("key")).distinct()), 3))
