@@ -21,6 +21,9 @@ COLUMNS = {
     "op8": "doc_id size text_crc32 law shard slot grown_shard",
     "op9": "page_id host path rule verdict",
     "op10": "doc_id n_shingles component_id",
+    "op11": "vec_id component n deviation whitened explained identity_error",
+    "op12": "vec_id code error label_error codebooks_sha256",
+    "op13": "doc_id held_out n_tokens n_known train_tokens base_score score",
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, jaccard, kdshards, mixing, nbsvm, packing, quotes, secrets, topk, urlrules
+from . import audio, codes, jaccard, kdshards, lm, mixing, nbsvm, packing, quotes, secrets, topk, urlrules, whitening
 from .common import table
 
 
@@ -75,6 +75,18 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_audio": op2_audio,
@@ -86,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_shards": op8_kd_shards,
     "op9_url_rules": op9_url_rules,
     "op10_jaccard": op10_jaccard,
+    "op11_whitening": op11_whitening,
+    "op12_codes": op12_codes,
+    "op13_lm": op13_lm,
 }
 
 _SITE_VALUES = ", ".join(f"('{host}{path}', '{host}', '{path}', '{action}')" for action, host, path in SITE_RULES)
@@ -123,7 +138,38 @@ SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
 FROM d LEFT JOIN z ON d.doc_id = z.doc_id GROUP BY d.doc_id"""
 
 
+def _codes_sql(rounds: int = 4) -> str:
+    """Codes in SQL: every part meets every entry of its book, round by round."""
+    nearest = "SELECT rid, p.part, min(struct_pack(d := list_sum(list_transform(list_zip(p.q, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), entry := b.entry)) AS best FROM p JOIN b{0} b ON p.part = b.part GROUP BY ALL"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""a{k} AS MATERIALIZED ({nearest.format(k)}
+), m{k} AS (
+  SELECT part, entry, i, sum(v) AS s, count(*) AS n FROM (SELECT a.part, a.best.entry AS entry, unnest(range(1, len(p.q) + 1)) AS i, unnest(p.q) AS v FROM a{k} a JOIN p USING (rid, part)) GROUP BY ALL
+), b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(x.e, b.e) AS e FROM b{k} b LEFT JOIN (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e FROM m{k} GROUP BY ALL) x ON b.part = x.part AND b.entry = x.entry
+)""")
+    return f"""
+WITH w AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS rid FROM w WHERE len(x) = (SELECT len(x) FROM w GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)
+), p AS MATERIALIZED (
+  SELECT rid, part, x[part * (len(x) // 4) + 1 : (part + 1) * (len(x) // 4)] AS q FROM v, (SELECT unnest(range(4)) AS part)
+), b0 AS (
+  SELECT part, rid - 1 AS entry, q AS e FROM p WHERE rid <= 256
+), {', '.join(steps)}, f AS MATERIALIZED ({nearest.format(rounds)}
+), c AS (
+  SELECT rid, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM f GROUP BY rid
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM v JOIN c USING (rid)"""
+
+
 SQL: dict[str, str] = {
+    "op12_codes": _codes_sql(),
     "op1_secrets": _secrets_sql(),
     "op4_mixing": r"""
 WITH d AS (
