@@ -44,13 +44,18 @@ def frame_quality(pairs: DataFrame, key: list[str], peak: float = 255.0) -> Data
     """(key..., psnr_avg_db, psnr_min_db, ssim_avg) of pixel pairs (key..., frame, a, b).
 
     The average PSNR is that of the mean error over all frames, the least one that of the
-    worst frame; SSIM is taken over each frame as one window and averaged.
+    worst frame; SSIM is taken over each frame as one window and averaged (`pictures` has it by local windows).
     """
     c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     f = pairs.groupBy(*key, "frame").agg(F.avg((a - b) * (a - b)).alias("mse"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"), F.covar_pop(a, b).alias("cov"), F.count(F.lit(1)).alias("n"))
     ssim = ((2 * F.col("ma") * F.col("mb") + c1) * (2 * F.col("cov") + c2)) / ((F.col("ma") * F.col("ma") + F.col("mb") * F.col("mb") + c1) * (F.col("va") + F.col("vb") + c2))
-    g = f.withColumn("ssim", ssim).groupBy(*key).agg((F.sum(F.col("mse") * F.col("n")) / F.sum("n")).alias("mse"), F.max("mse").alias("worst"), F.avg("ssim").alias("ssim_avg"))
+    return over_frames(f.withColumn("ssim", ssim), key, peak)
+
+
+def over_frames(frames: DataFrame, key: list[str], peak: float = 255.0) -> DataFrame:
+    """(key..., psnr_avg_db, psnr_min_db, ssim_avg) of (key..., mse, ssim, n) of each frame."""
+    g = frames.groupBy(*key).agg((F.sum(F.col("mse") * F.col("n")) / F.sum("n")).alias("mse"), F.max("mse").alias("worst"), F.avg("ssim").alias("ssim_avg"))
     return g.select(*key, psnr(F.col("mse"), peak).alias("psnr_avg_db"), psnr(F.col("worst"), peak).alias("psnr_min_db"), "ssim_avg")
 
 

@@ -9,44 +9,57 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.media import with_first
+
 _SCHEMA = "recording_id string, time double, dominant_freq double, concentration double, rms double"
+#: Windows that one task's group holds, and how many are transformed at once.
+SPAN, AT_ONCE = 1024, 256
+
+
+def _joined(part: pd.DataFrame, begin: int, end: int) -> np.ndarray:
+    """Samples begin to end of the blocks in part, cut where they end."""
+    part = part.sort_values("first")
+    x = np.concatenate(part["samples"].to_numpy())
+    at = int(part["first"].iloc[0])
+    return x[max(0, begin - at) : end - at].astype(np.float64) / 32768.0
 
 
 def spectral_windows(blocks: DataFrame, rate: int = 22050, window: float = 0.5, hop: float = 0.25, low: float = 300.0, high: float = 8000.0) -> DataFrame:
     """recording_id, time, dominant_freq, concentration, rms of pcm_blocks (recording_id, block, samples ARRAY<SMALLINT>).
 
     A window of `window` seconds (256 samples at least) every `hop` seconds; none for what is
-    left at the end. Each is weighted (Hann) and transformed; concentration is the magnitude in the
+    left at the end. Each is weighted (Hann); concentration is the magnitude in the
     peak bin and two on either side over that of the band, 0 with frequency 0 where the band is
-    silent. Blocks of a recording may be of any length; they are read in order and a task
-    keeps no more than a window and a block.
+    silent. Blocks of a recording may be of any length, one after the other.
+
+    Windows are dealt out SPAN to a group, with the blocks that they reach into, so a long recording is
+    many tasks; only blocks at a group's edge are sent twice.
     """
     size, step = max(int(window * rate), 256), max(int(hop * rate), 1)
     weights, freq = np.hanning(size), np.fft.rfftfreq(size, 1 / rate)
-    band = (freq >= low) & (freq <= high)
-
-    def measured(chunk: np.ndarray) -> tuple[float, float, float]:
-        magnitude = np.abs(np.fft.rfft(chunk * weights))[band]
-        total, rms = float(magnitude.sum()), float(np.sqrt(np.mean(chunk * chunk)))
-        if total <= 1e-9:
-            return 0.0, 0.0, rms
-        peak = int(magnitude.argmax())
-        return float(freq[band][peak]), float(magnitude[max(0, peak - 2) : peak + 3].sum()) / total, rms
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, held, at = None, np.empty(0), 0
-        for part in parts:
-            rows = []
-            for rec, samples in zip(part["recording_id"], part["samples"], strict=True):
-                if rec != who:
-                    who, held, at = rec, np.empty(0), 0
-                held = np.concatenate([held, np.asarray(samples, np.float64) / 32768.0])
-                n = 0
-                while n + size <= len(held):
-                    rows.append((rec, (at + n) / rate, *measured(held[n : n + size])))
-                    n += step
-                held, at = held[min(n, len(held)) :], at + min(n, len(held))
-            yield pd.DataFrame(rows, columns=["recording_id", "time", "dominant_freq", "concentration", "rms"])
-
-    d = blocks.select(F.col("recording_id").cast("string"), "block", "samples").where("samples IS NOT NULL")
-    return d.repartition("recording_id").sortWithinPartitions("recording_id", "block").mapInPandas(run, _SCHEMA)
+    band = np.flatnonzero((freq >= low) & (freq <= high))
+    span = SPAN * step
+
+    def measured(chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(frequency, concentration, rms) of each row."""
+        magnitude = np.abs(np.fft.rfft(chunks * weights, axis=1))[:, band]
+        total, rms = magnitude.sum(axis=1), np.sqrt((chunks * chunks).mean(axis=1))
+        peak = magnitude.argmax(axis=1) if len(band) else np.zeros(len(chunks), np.int64)
+        near = sum((np.take_along_axis(magnitude, np.clip(peak + k, 0, len(band) - 1)[:, None], 1)[:, 0] * ((peak + k >= 0) & (peak + k < len(band))) for k in range(-2, 3)), np.zeros(len(chunks))) if len(band) else total
+        live = total > 1e-9
+        return np.where(live, freq[band][peak] if len(band) else 0.0, 0.0), np.where(live, near / np.where(live, total, 1), 0.0), rms
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        begin = key[1] * span
+        x = _joined(part, begin, begin + span - step + size)
+        every = np.lib.stride_tricks.sliding_window_view(x, size)[::step] if len(x) >= size and int(part["first"].min()) <= begin else np.empty((0, size))
+        found = [measured(every[a : a + AT_ONCE]) for a in range(0, len(every), AT_ONCE)]
+        f, c, rms = (np.concatenate([m[k] for m in found]) if found else np.empty(0) for k in range(3))
+        return pd.DataFrame({"recording_id": key[0], "time": (begin + np.arange(len(f)) * step) / rate, "dominant_freq": f, "concentration": c, "rms": rms})
+
+    d = with_first(blocks).where(F.size("samples") > 0).select(F.col("recording_id").cast("string"), F.col("first").cast("long"), "samples")
+    # group g has the windows that begin in [g * span, (g + 1) * span), which end size - step samples beyond at most
+    earliest = F.greatest(F.lit(0), F.floor((F.col("first") - (size - step)) / span))
+    latest = F.floor((F.col("first") + F.size("samples") - 1) / span)
+    dealt = d.withColumn("group", F.explode(F.sequence(earliest, F.greatest(earliest, latest))))
+    return dealt.groupBy("recording_id", "group").applyInPandas(run, _SCHEMA)

@@ -201,7 +201,7 @@ def still_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sample_levels(spark: SparkSession, sf: str) -> DataFrame:
-    w = levels.level_envelope(media.block_samples(media.pcm_blocks(_raw(spark, sf), rate=100, block=1000)), 0.5)
+    w = levels.block_levels(media.pcm_blocks(_raw(spark, sf), rate=100, block=1000), 0.5)
     return w.select("recording_id", "idx", "start_ms", "start", "end", *[F.round(c, 6).alias(c) for c in ("rms_db", "peak_db", "flat_factor")])
 
 

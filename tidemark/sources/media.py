@@ -6,7 +6,7 @@ import shutil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import average_hash, brightness
@@ -55,24 +55,36 @@ def frame_samples(frames: DataFrame) -> DataFrame:
 
 
 def pcm_blocks(raw: DataFrame, rate: int = 22050, block: int = 65536) -> DataFrame:
-    """(recording_id, block, sample_rate, samples ARRAY<SMALLINT>) of little-endian 16-bit mono samples; an odd last byte is dropped."""
+    """(recording_id, block, sample_rate, first, samples ARRAY<SMALLINT>) of little-endian 16-bit samples; an odd last byte is dropped.
+
+    first is the place of a block's first sample. Files beyond 2 GB are read by `raw.read_raw`, which gives the same rows.
+    """
 
     def run(parts):
         for part in parts:
             for rec, content in zip(part["recording_id"], part["content"], strict=True):
                 x = np.frombuffer(content[: len(content) // 2 * 2], "<i2")
                 for i in range(0, len(x), block):
-                    yield pd.DataFrame({"recording_id": [rec], "block": [i // block], "sample_rate": [rate], "samples": [x[i : i + block]]})
+                    yield pd.DataFrame({"recording_id": [rec], "block": [i // block], "sample_rate": [rate], "first": [i], "samples": [x[i : i + block]]})
+
+    return raw.mapInPandas(run, "recording_id string, block int, sample_rate int, first bigint, samples array<smallint>")
 
-    return raw.mapInPandas(run, "recording_id string, block int, sample_rate int, samples array<smallint>")
+
+def with_first(blocks: DataFrame) -> DataFrame:
+    """blocks with `first`; where they have none, the lengths of the blocks before add up to it. Blocks without samples are left out."""
+    blocks = blocks.where("samples IS NOT NULL")
+    if "first" in blocks.columns:
+        return blocks
+    before = Window.partitionBy("recording_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # numbers alone are sorted, samples are joined to them
+    places = blocks.select("recording_id", "block", F.size("samples").cast("long").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n")
+    return blocks.join(places, ["recording_id", "block"])
 
 
 def block_samples(blocks: DataFrame) -> DataFrame:
-    """(recording_id, time, value in -1 to 1) of pcm_blocks whose blocks, but for the last, are of one length."""
-    size = blocks.groupBy("recording_id").agg(F.max(F.size("samples")).alias("__size"))
-    d = blocks.join(size, "recording_id").select("recording_id", "block", "sample_rate", "__size", F.posexplode("samples").alias("i", "s"))
-    at = F.col("block").cast("long") * F.col("__size") + F.col("i")
-    return d.select("recording_id", (at / F.col("sample_rate")).alias("time"), (F.col("s") / 32768.0).alias("value"))
+    """(recording_id, time, value in -1 to 1) of pcm_blocks: a row for each sample, for those who need single ones."""
+    d = with_first(blocks).select("recording_id", "sample_rate", "first", F.posexplode("samples").alias("i", "s"))
+    return d.select("recording_id", ((F.col("first") + F.col("i")) / F.col("sample_rate")).alias("time"), (F.col("s") / 32768.0).alias("value"))
 
 
 def black_frames(frames: DataFrame, pixel: float = 0.10, share: float = 0.98) -> DataFrame:
@@ -83,8 +95,6 @@ def black_frames(frames: DataFrame, pixel: float = 0.10, share: float = 0.98) ->
 
 def still_frames(frames: DataFrame, noise_db: float = -60.0) -> DataFrame:
     """(recording_id, idx, time, hit): whether a frame's mean absolute difference from the one before is within the noise."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("recording_id").orderBy("idx")
     d = frames.withColumn("__before", F.lag("pixels").over(w))
     diff = F.aggregate(F.zip_with(_values("pixels"), _values("__before"), lambda a, b: F.abs(a - b)), F.lit(0), lambda s, x: s + x) / F.length("pixels")
