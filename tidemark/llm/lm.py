@@ -169,17 +169,20 @@ def _counts(chunks: DataFrame, order: int, bits: int, drop: int) -> DataFrame:
     the range in learning documents, with and without the deleted ones; on one row of each range.
     """
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                grams, out = _Grams.of(row, order, drop), []
-                learns = np.repeat(~grams.held, grams.lengths)
-                for k, (keys, at) in enumerate(zip(grams.keys, grams.at, strict=True)):
-                    count = np.bincount(at, weights=learns, minlength=len(keys)).astype(np.uint64)
-                    cut = _slices(keys, bits, 64 - drop if k else 64)
-                    out += [{"part": (k << bits) + r, "chunk": row["chunk"], "deleted": row["deleted"], "keys": _squeezed_sorted(keys[a:z]), "counts": squeezed(count[a:z])} for r, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
-                yield _batch(out, [("part", pa.int64()), ("chunk", pa.int64()), ("deleted", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        row, out = rows.iloc[0], {c: [] for c in ("part", "chunk", "deleted", "keys", "counts")}
+        grams = _Grams.of(row, order, drop)
+        learns = np.repeat(~grams.held, grams.lengths)
+        for k, (keys, at) in enumerate(zip(grams.keys, grams.at, strict=True)):
+            count = np.bincount(at, weights=learns, minlength=len(keys)).astype(np.uint64)
+            cut = _slices(keys, bits, 64 - drop if k else 64)
+            for r, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                if z > a:
+                    for name, v in zip(out, ((k << bits) + r, row["chunk"], row["deleted"], _squeezed_sorted(keys[a:z]), squeezed(count[a:z])), strict=True):
+                        out[name].append(v)
+        del grams, learns
         give_back()
+        return pd.DataFrame(out)
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         keys = [_restored_sorted(k) for k in group["keys"]]
@@ -197,9 +200,11 @@ def _counts(chunks: DataFrame, order: int, bits: int, drop: int) -> DataFrame:
         out["kept"] = [squeezed(kept[at[a:z]]) if deleted else None for deleted, a, z in places]
         first = np.arange(len(out)) == 0
         out["known"], out["known_kept"] = np.where(first, known, 0), np.where(first, known_kept, 0)
+        del keys, at, counts, total, kept, gone
+        give_back()
         return out
 
-    asked = chunks.mapInArrow(ask, "part long, chunk long, deleted boolean, keys binary, counts binary")
+    asked = chunks.groupBy("chunk").applyInPandas(ask, "part long, chunk long, deleted boolean, keys binary, counts binary")
     return stable(asked.groupBy("part").applyInPandas(add, _COUNTED))
 
 
@@ -360,6 +365,8 @@ def score_documents(docs: DataFrame, order: int = 3, id_col: str = "doc_id", tex
             "base_score": each(np.log10(one)), "score": each(np.log10(mixed(one, ml, bucket, weights))),
         })
         out.loc[no_id, "doc_id"] = pd.NA
+        del grams, count, one, ml, bucket
+        give_back()
         return out
 
     return chunks.groupBy("chunk").cogroup(counts.select("part", "chunk", "total").groupBy("chunk")).applyInPandas(score, _SCORES)
