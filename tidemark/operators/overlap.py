@@ -1,8 +1,8 @@
-"""Joins of intervals, by equal keys of time buckets."""
+"""Joins of intervals, by a sweep over their ends or by equal keys of time buckets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,15 +15,21 @@ def in_buckets(df: DataFrame, start: Column, end: Column, width: float, out: str
 def overlap_any(left: DataFrame, right: DataFrame, flag: Column, width: float, part: str = "recording_id", out: str = "any") -> DataFrame:
     """left with `out`: whether a row of right that overlaps it (end > start and start < end, both strict) has the flag; false without any.
 
-    Both sides have part, start, end. They meet by part and bucket, never as a plain theta join,
-    so a long recording spreads over its buckets; the flag is reduced to a row for each row of left, keyed by its
-    part, start and end, before it is joined back.
+    Both sides have part, start, end. One sweep in order of time tells: of the flagged rows that start before a
+    row of left ends, the latest end must lie beyond its start. So an interval is one row on either
+    side, however long it is. The sweep is cut into ranges of `width` seconds, each in a task of
+    its own; what a range needs of those before it is their latest end, one number each. Empty and null intervals overlap nothing.
     """
-    keys = [part, "start", "end"]
-    l = in_buckets(left.select(*keys).distinct(), F.col("start"), F.col("end"), width)
-    r = in_buckets(right.where(flag).select(F.col(part).alias("__p"), F.col("start").alias("__s"), F.col("end").alias("__e")), F.col("__s"), F.col("__e"), width, "__b")
-    met = l.join(r, (F.col(part) == F.col("__p")) & (F.col("bucket") == F.col("__b")) & (F.col("__e") > F.col("start")) & (F.col("__s") < F.col("end")), "left_semi")
-    hit = met.select(*keys).distinct().withColumn(out, F.lit(True))
+    keys, range_ = [part, "start", "end"], lambda c: F.floor(F.col(c) / width).cast("long")
+    asked = left.where(F.col("start") < F.col("end")).select(*keys).distinct().select(part, range_("end").alias("range"), F.col("end").alias("at"), F.lit(0).alias("side"), F.col("start"), F.lit(None).cast("double").alias("until"))
+    told = right.where(flag & (F.col("start") < F.col("end"))).select(part, range_("start").alias("range"), F.col("start").cast("double").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("start"), F.col("end").cast("double").alias("until"))
+    # at one time the row of left comes first: what starts as it ends does not overlap it
+    within = Window.partitionBy(part, "range").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(part).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    rows = asked.unionByName(told)
+    carried = rows.groupBy(part, "range").agg(F.max("until").alias("latest")).withColumn("carried", F.max("latest").over(earlier)).drop("latest")
+    swept = rows.withColumn("latest", F.max("until").over(within)).where("side = 0").join(carried, [part, "range"])
+    hit = swept.where(F.greatest("latest", "carried") > F.col("start")).select(part, "start", F.col("at").alias("end")).withColumn(out, F.lit(True))
     return left.join(hit, keys, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
