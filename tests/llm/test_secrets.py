@@ -96,3 +96,15 @@ def test_empty_table_and_many_equal_texts(spark):
     assert secrets.scan(spark.createDataFrame([], DOCS)).count() == 0
     same = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(f"user=bobby {VALUE}").alias("text"))
     assert secrets.scan(same).groupBy("spans").count().collect()[0]["count"] == 500
+
+
+def test_redact_with_clashing_columns_and_any_mark(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(i, "token=abcdefgh1 rest") for i in range(3)] + [(9, None), (10, "plain")], "doc_id long, text string")
+    for c in ("rows", "key", "n", "kind", "base", "weak", "spans", "run", "start", "end"):
+        d = d.withColumn(c, F.lit(c))
+    for mark in ("[secret]", "it's", 'a"b', "back\\slash", "$1", ""):
+        got = secrets.redact(d, mark=mark).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == [(0, f"{mark} rest"), (1, f"{mark} rest"), (2, f"{mark} rest"), (9, None), (10, "plain")]
+        assert all(r["rows"] == "rows" and r["key"] == "key" and r["n"] == "n" for r in got)

@@ -53,7 +53,7 @@ HOT_ROWS, HOT_SHARE = 1000, 1e-5
 
 
 def by_size(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """rows joined to facts, which have one row a key; `count` is how many of the rows have it (and is dropped), total their sum.
+    """rows joined to facts, which have one row a key; facts' `count` is how many of the rows have it (and is left out), total their sum.
 
     Facts of hot keys are handed to every task, so that no task gets all rows of one: there are
     1 / HOT_SHARE of them at most. The rest is joined by a shuffle. Rows without a fact are left out.
@@ -61,9 +61,9 @@ def by_size(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int)
     """
     hot = max(HOT_ROWS, int(total * HOT_SHARE))
     if not facts.where(F.col(count) >= hot).limit(1).count():
-        return rows.drop(count).join(facts.drop(count), key)
+        return rows.join(facts.drop(count), key)
     others = [c for c in facts.columns if c not in (key, count)]
-    few = rows.drop(count).join(F.broadcast(facts.where(F.col(count) >= hot).drop(count).withColumn("__hot", F.lit(True))), key, "left")
+    few = rows.join(F.broadcast(facts.where(F.col(count) >= hot).drop(count).withColumn("__hot", F.lit(True))), key, "left")
     rest = few.where("__hot IS NULL").drop("__hot", *others).join(facts.where(F.col(count) < hot).drop(count), key)
     return few.where("__hot").drop("__hot").unionByName(rest)
 

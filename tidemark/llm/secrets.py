@@ -164,7 +164,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", reac
     begin = "if(b = 0, 0, __cut[b * 64 - 1].end)"
     stretch = f"transform(sequence(0, (size(__cut) - 1) div 64), b -> named_struct('b', b, 'at', {begin}, 't', substring({t}, {begin} + 1, __cut[least(b * 64 + 63, size(__cut) - 1)].end - {begin})))"
     before = "if(i = z.b * 64, z.at, __cut[i - 1].end)"
-    pieces = f"transform({stretch}, z -> array_join(transform(sequence(z.b * 64, least(z.b * 64 + 63, size(__cut) - 1)), i -> concat(substring(z.t, {before} - z.at + 1, __cut[i].start - {before}), '{mark}')), ''))"
+    put = "'" + mark.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    pieces = f"transform({stretch}, z -> array_join(transform(sequence(z.b * 64, least(z.b * 64 + 63, size(__cut) - 1)), i -> concat(substring(z.t, {before} - z.at + 1, __cut[i].start - {before}), {put})), ''))"
     clean = F.expr(f"concat(array_join({pieces}, ''), substring({t}, element_at(__cut, -1).end + 1))")
     some = some.withColumn(text_col, F.when(F.col("__cut").isNotNull(), clean).otherwise(F.col(text_col)))
     return read.where("__key IS NULL").select(*docs.columns).union(some.select(*docs.columns))
