@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import common, jaccard
 from tidemark.llm import components as components_module
@@ -201,3 +202,19 @@ def test_components_over_partitions_of_any_size(spark, monkeypatch, per_task, he
                 label[u] = label[v] = min(label[u], label[v])
     got = components(spark.createDataFrame(edges, "u long, v long").repartition(4), per_task).collect()
     assert len(got) == len(label) and {x.node: x.component for x in got} == label
+
+
+def test_of_rows_alike_in_id_and_text_the_first_by_its_other_columns_stays(spark):
+    rows = [(1, "a b c d e f", s) for s in ("web", "books", None, "news")] + [(2, "other words than those", "web")] * 3 + [(None, "a b c d e f", "x")]
+    for parts in (1, 4):
+        got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)).collect()
+        assert sorted(map(tuple, got), key=str) == [(1, "a b c d e f", "books"), (2, "other words than those", "web")]
+
+
+def test_documents_whose_short_hash_is_one_stay_apart(spark, monkeypatch):
+    """Rows are told apart by a digest of 256 bits; a hash of 64 bits only says which of them to look at."""
+    real = F.xxhash64
+    monkeypatch.setattr(jaccard.F, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 else real(*c))
+    rows = [(1, "a b c d e f"), (2, "u v w x y z"), (3, "a b c d e f"), (4, "quite another text than all these")]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 4]

@@ -274,7 +274,7 @@ def _sets(rows: DataFrame, width: int, salt: bytes, wanted: np.ndarray, hashes:
                         seen.add(key)
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(at, len(keys)) for c in names], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], [*names, "key", "n", "tokens"])
 
-    return rows.mapInArrow(emit, "".join(f"{c} long, " for c in names) + "key long, n long, tokens binary")
+    return rows.mapInArrow(emit, "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in names) + "key long, n long, tokens binary")
 
 
 def _place(keys: np.ndarray, i: int, bits: int) -> np.ndarray:
@@ -476,29 +476,32 @@ def _grouped(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near duplicates: of each component one row stays, of those of the least id (null: last) any one.
+    """docs without near duplicates: of each component one row stays, the one of the least id (null: last), then of the least SHA-256 of id and text.
 
-    Rows are told apart by a hash of 64 bits of id and text, so rows that repeat an id and those
-    without one are judged each by their own text; of rows alike in both, one stays. Rows without
+    Rows are told apart by that digest, so rows that repeat an id and those
+    without one are judged each by their own text; of rows alike in both, the one whose other columns come first as JSON stays. Rows without
     words stand alone; of those alike in id and text one stays, and all that have no id. Most rows
     are told from the removed ones by a filter and stay where they lie; only those it is unsure of
-    are joined by their hash.
+    are joined by their digest.
     """
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    row = F.xxhash64(doc_id.isNull(), doc_id, text)
+    named = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.when(text.isNotNull(), F.concat(F.lit("="), text)))
+    row = F.unhex(F.sha2(named.cast("binary"), 256))
     found = _grouped(docs.select(doc_id.alias("doc_id"), row.alias("row"), text.alias("text")), width, percent)
     found = found.where("key <> 0 OR doc_id IS NOT NULL").select("row", F.coalesce("component_id.row", "row").alias("least"))
     rows = stable(found.groupBy("row").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n")))
-    odd = rows.where("row <> least OR n > 1").select(F.col("row").alias("key"), "least", "n")
-    wanted = _key_filter(odd.select("key"))
+    odd = rows.where("row <> least OR n > 1").select("row", "least", "n")
+    wanted = _key_filter(odd.select(F.xxhash64("row").alias("key")))
 
     @F.pandas_udf("boolean")
     def unsure(keys: pd.Series) -> pd.Series:
         return pd.Series(_in_filter(wanted, keys.to_numpy(np.int64), 3))
 
-    marked = docs.withColumn("__row", row).withColumn("__unsure", unsure("__row"))
+    marked = docs.withColumn("__row", row).withColumn("__unsure", unsure(F.xxhash64("__row")))
     sure = marked.where("NOT __unsure").drop("__unsure", "__row")
-    rest = marked.where("__unsure").drop("__unsure").join(odd.withColumnsRenamed({"key": "__key", "least": "__least", "n": "__n"}), F.col("__row") == F.col("__key"), "left")
+    rest = marked.where("__unsure").drop("__unsure").join(odd.withColumnsRenamed({"row": "__key", "least": "__least", "n": "__n"}), F.col("__row") == F.col("__key"), "left")
     rest = rest.where(F.col("__key").isNull() | (F.col("__key") == F.col("__least"))).drop("__key", "__least")
-    again = rest.where("__n > 1").dropDuplicates(["__row"])
-    return sure.union(rest.where("__n IS NULL OR __n = 1").drop("__n", "__row")).union(again.drop("__n", "__row"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    others = F.struct(F.lit(0).alias("__no"), *[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)])
+    again = rest.where("__n > 1").groupBy("__row").agg(F.min_by(whole, F.to_json(others)).alias("__kept"))
+    return sure.union(rest.where("__n IS NULL OR __n = 1").drop("__n", "__row")).union(again.select("__kept.*"))
