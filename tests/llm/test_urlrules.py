@@ -64,3 +64,9 @@ def test_no_rules_and_no_pages(spark):
     d = spark.createDataFrame([(1, "http://a/b", None), (1, "http://a/b", None)], PAGES)
     assert [r.verdict for r in urlrules.judge(d, []).collect()] == ["allow", "allow"]
     assert urlrules.judge(d.limit(0), RULES).count() == 0
+
+
+def test_an_end_is_the_very_end():
+    for pattern in ("/wp-login.php|", "/wp-login.php^"):
+        r = re.compile(urlrules.Rule("block", pattern).regex())
+        assert r.search("x.com/wp-login.php") and not re.search(urlrules.Rule("block", "/wp-login.php|").regex(), "x.com/wp-login.php\n")

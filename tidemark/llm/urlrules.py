@@ -44,8 +44,8 @@ class Rule:
         elif body.startswith("|"):
             head, body = "^", body[1:]
         if body.endswith("|"):
-            tail, body = "$", body[:-1]
-        return head + re.sub(r"\\\*", ".*", re.escape(body)).replace(r"\^", r"(?:[^A-Za-z0-9_.%-]|$)") + tail
+            tail, body = r"\Z", body[:-1]
+        return head + re.sub(r"\\\*", ".*", re.escape(body)).replace(r"\^", r"(?:[^A-Za-z0-9_.%-]|\Z)") + tail
 
     def tokens(self) -> list[str]:
         """Literal runs that any URL matching this has as whole tokens: those closed on both sides."""
