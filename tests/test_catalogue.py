@@ -2,11 +2,13 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import pandas as pd
 import pytest
 
-from tidemark.plans import catalogue
+from tidemark.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,12 +36,18 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, duck, name):
-    got, want = catalogue.QUERIES[name](spark, FOLDER).toPandas(), duck.sql(catalogue.SQL[name]).df()
+    got, want = registry.QUERIES[name](spark, FOLDER).toPandas(), duck.sql(registry.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
 
 def test_sql_belongs_to_queries():
-    assert set(catalogue.SQL) <= set(catalogue.QUERIES)
+    assert set(registry.SQL) <= set(registry.QUERIES)
+
+
+def test_every_module_imports_on_its_own():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("product", "catalogue", "captures", "registry", "analysis", "comparison"):
+        subprocess.run([sys.executable, "-c", f"from tidemark.plans import {name}"], cwd=root, check=True)

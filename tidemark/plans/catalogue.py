@@ -1,4 +1,4 @@
-"""Registry of the engine's queries over the driver's tables, with SQL for those that SQL can express.
+"""Queries of the engine's operators over the driver's tables.
 
 The tables hold no media, so events stand for signals: a user is a recording, a window is six
 hours, its level the root mean square of values; an event's type is a slide state, and a channel.
@@ -279,12 +279,6 @@ def parse_level_log(spark: SparkSession, sf: str) -> DataFrame:
     return logs.level_windows(lines.select("recording_id", "line_no", "line")).drop("idx")
 
 
-from . import product  # noqa: E402
-from .catalogue_sql import SQL as _SQL  # noqa: E402
-from .product_sql import SQL as _PRODUCT_SQL  # noqa: E402
-
-SQL: dict[str, str] = _SQL | _PRODUCT_SQL
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -293,4 +287,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         progress_buckets, metadata_diff, psnr_compare, quality_classify, unified_timeline, summary_rollup, timeline_filter, evidence_plan, batch_index, nearest_frame,
         timestamp_format, slugify, i18n_labels, parse_segment_log, parse_level_log,
     )
-} | product.QUERIES
+}

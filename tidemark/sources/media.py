@@ -38,6 +38,18 @@ def frame_pixels(raw: DataFrame, grid: int = 32, fps: float = 2.0, start: float
     return d.select("recording_id", "idx", (F.lit(start) + F.col("idx") / fps).alias("time"), cut.alias("pixels"))
 
 
+def sized_frames(raw: DataFrame, fps: float = 2.0, start: float = 0.0) -> DataFrame:
+    """(recording_id, idx, time, width, height, pixels) of raw 8-bit gray frames (recording_id, width, height, content), each recording of its own size.
+
+    A frame that is cut short at the end is dropped; a recording without a size has no frames.
+    """
+    area = F.col("width") * F.col("height")
+    n = F.floor(F.length("content") / F.when(area > 0, area)).cast("int")
+    d = raw.withColumn("__n", n).where("__n > 0").withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    cut = F.substring(F.col("content"), F.col("idx") * area + 1, area)
+    return d.select("recording_id", "idx", (F.lit(start) + F.col("idx") / fps).alias("time"), "width", "height", cut.alias("pixels"))
+
+
 def _values(pixels: str) -> Column:
     """The bytes of a column as integers, by one Arrow pass."""
 
