@@ -147,15 +147,15 @@ def _assigned(blocks: DataFrame, dim: int, books: list[np.ndarray], kind: type)
     return out
 
 
-def codebooks(x: DataFrame, dim: int, kind: type, parts: int, entries: int, rounds: int) -> list[np.ndarray]:
+def codebooks(x: DataFrame, dim: int, rows: int, kind: type, parts: int, entries: int, rounds: int) -> list[np.ndarray]:
     """One book for each part: begun with the vectors of the `entries` smallest ids, then `rounds` times the floors of their parts' means.
 
-    x has vec_id and `__x`. Rows that repeat an id follow each other by their vectors; null ids come last.
+    x has vec_id and `__x`, some `rows` rows. Rows that repeat an id follow each other by their vectors; null ids come last.
     """
     first = x.select("vec_id", "__x").orderBy(F.col("vec_id").asc_nulls_last(), "__x").limit(entries).collect()
     start = _as(np.array([r["__x"] for r in first]).reshape(-1, dim), kind)
     books = [start[:, a:b] for a, b in _cuts(dim, parts)]
-    blocks = packed(x, dim)
+    blocks = packed(x, dim, rows)
     for _ in range(rounds if len(start) else 0):
         books = [b.copy() for b in books]
         for (p, e), (n, sums) in _assigned(blocks, dim, books, kind).items():
@@ -185,12 +185,12 @@ def vector_codes(
     """
     if not 1 <= entries <= 256:
         raise ValueError("entries must be 1 to 256")
-    x, dim, largest = whole_vectors(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("__label"), F.col(vector_col).alias("__v")), "__v", scale)
+    x, dim, largest, rows = whole_vectors(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("__label"), F.col(vector_col).alias("__v")), "__v", scale)
     kind = number_kind(largest, dim)
     schema = "vec_id long, code string, error long, label_error long, codebooks_sha256 string"
     if dim == 0:
         return vectors.sparkSession.createDataFrame([], schema)
-    books, cuts = codebooks(x, dim, kind, parts, entries, rounds), _cuts(dim, parts)
+    books, cuts = codebooks(x, dim, rows, kind, parts, entries, rounds), _cuts(dim, parts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices = [Slices(b) for b in books]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import matrix, packed, unpacked, whole_vectors
+from .vectors import matrix, packed, partition_count, unpacked, whole_vectors
 
 #: The largest double below 2**63: entries beyond it count as it.
 LONGEST = 2.0**63 - 1024
@@ -18,6 +18,8 @@ LONGEST = 2.0**63 - 1024
 NOISE = 1e-11
 #: A component has converged when its residual is below this share of the largest singular value.
 TOLERANCE = 1e-14
+#: Numbers that a task adds up over others' sums.
+SUMS = 1 << 20
 #: Between two looks at convergence.
 LOOK = 8
 
@@ -55,8 +57,8 @@ class Centre:
         return exact
 
 
-def _summed(blocks: DataFrame, dim: int, f: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all blocks of f(rows), a vector of doubles: each task adds up its own, and the sums are added by place."""
+def _summed(blocks: DataFrame, dim: int, f: Callable[[np.ndarray], np.ndarray], size: int, tasks: int) -> np.ndarray:
+    """The sum over all blocks of f(rows), a vector of doubles: each of some `tasks` tasks adds up its own, and the sums are added by place."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -64,7 +66,9 @@ def _summed(blocks: DataFrame, dim: int, f: Callable[[np.ndarray], np.ndarray],
             total += f(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "v"])
 
-    got = blocks.mapInArrow(add, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    sums = blocks.mapInArrow(add, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    # as few tasks for the sums as their numbers need
+    got = sums.coalesce(1 + tasks * size // SUMS).collect()
     out = np.zeros(size)
     for r in got:
         out[r["i"]] = r["v"]
@@ -83,7 +87,7 @@ def centre(blocks: DataFrame, dim: int) -> Centre:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim)), pa.array(high), pa.array(low)], ["i", "high", "low"])
 
     exact = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("high", "low")]
-    got = {r["i"]: int(r["high"]) * 2**32 + int(r["low"]) for r in blocks.mapInArrow(add, "i long, high long, low long").groupBy("i").agg(*exact).collect()}
+    got = {r["i"]: int(r["high"]) * 2**32 + int(r["low"]) for r in blocks.mapInArrow(add, "i long, high long, low long").groupBy("i").agg(*exact).coalesce(1 + dim // SUMS).collect()}
     return Centre(blocks.agg(F.sum("n")).first()[0] or 0, [got.get(i, 0) for i in range(dim)])
 
 
@@ -95,8 +99,8 @@ class Bidiagonal:
     row is ever kept: only the z. What the driver holds is some dim x dim matrices.
     """
 
-    def __init__(self, blocks: DataFrame, dim: int, mean: Centre, norm: float, seed: int) -> None:
-        self.blocks, self.dim, self.mean, self.norm = blocks, dim, mean, norm
+    def __init__(self, blocks: DataFrame, dim: int, mean: Centre, norm: float, seed: int, tasks: int) -> None:
+        self.blocks, self.dim, self.mean, self.norm, self.tasks = blocks, dim, mean, norm, tasks
         self.random = np.random.default_rng(seed)
         self.sigma: list[float] = []
         self.right: list[np.ndarray] = []  # what is found: unit vectors v, by falling sigma
@@ -110,7 +114,7 @@ class Bidiagonal:
             u = a @ z
             return np.concatenate([u @ a, u @ (a @ before), [u @ u]])
 
-        got = _summed(self.blocks, dim, products, dim + k + 1)
+        got = _summed(self.blocks, dim, products, dim + k + 1, self.tasks)
         return got[:dim], got[dim : dim + k], float(got[-1])
 
     @staticmethod
@@ -203,16 +207,16 @@ def whiten(vectors: DataFrame, components: int = 4, id_col: str = "vec_id", vect
     The fit list is deduplicated by a shuffle and written as blocks; every step reads those once and gives
     one row a place and task. Rows are projected where they lie.
     """
-    x, dim, largest = whole_vectors(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("__v")), "__v", scale)
+    x, dim, largest, n_rows = whole_vectors(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("__v")), "__v", scale)
     spark = vectors.sparkSession
     if dim == 0:
         return spark.createDataFrame([], _ROWS)
     if largest > LONGEST:
         x = x.withColumn("__x", F.transform("__x", lambda c: F.greatest(F.lit(-LONGEST), F.least(F.lit(LONGEST), c))))
-    blocks = packed(x.select("__x").distinct(), dim)
-    mean = centre(blocks, dim)
-    squares = _summed(blocks, dim, lambda rows: np.array([(mean.rows(rows) ** 2).sum()]), 1)[0]
-    sigma, v = Bidiagonal(blocks, dim, mean, float(np.sqrt(squares)), seed).leading(components)
+    blocks = packed(x.select("__x").distinct(), dim, n_rows)
+    mean, tasks = centre(blocks, dim), partition_count(n_rows, dim)
+    squares = _summed(blocks, dim, lambda rows: np.array([(mean.rows(rows) ** 2).sum()]), 1, tasks)[0]
+    sigma, v = Bidiagonal(blocks, dim, mean, float(np.sqrt(squares)), seed, tasks).leading(components)
     k = len(sigma)
     if k == 0:
         return spark.createDataFrame([], _ROWS)
@@ -222,7 +226,7 @@ def whiten(vectors: DataFrame, components: int = 4, id_col: str = "vec_id", vect
         w = mean.rows(rows) @ project
         return np.concatenate([w.sum(axis=0), (w.T @ w).ravel()])
 
-    got = _summed(blocks, dim, moments, k + k * k) / mean.n
+    got = _summed(blocks, dim, moments, k + k * k, tasks) / mean.n
     error = float(np.abs(got[k:].reshape(k, k) - np.outer(got[:k], got[:k]) - np.eye(k)).max())
     explained = sigma**2 / squares
 
