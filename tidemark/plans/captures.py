@@ -65,20 +65,6 @@ _OVER = "greatest(0, least(({0} + 1) * {2}, ({1} + 1) * {3}) - greatest({0} * {2
 _SUM = "list_sum(list_transform(range(0, {n}), lambda q: {f}))"
 
 
-def _window(y: int, x: int) -> str:
-    """Similarity over 8 x 8 pixels from (y, x) of two lists of 12 x 12."""
-    at = f"[({y} + q // 8) * 12 + {x} + q % 8 + 1]"
-    s = lambda f: _SUM.format(n=64, f=f)
-    a, b, aa, bb, ab = s(f"a{at}"), s(f"b{at}"), s(f"a{at} * a{at}"), s(f"b{at} * b{at}"), s(f"a{at} * b{at}")
-    return f"(2 * ({a}) * ({b}) / 4096 + 6.5025) * (2 * (64 * ({ab}) - ({a}) * ({b})) / 4096 + 58.5225) / (((({a}) * ({a}) + ({b}) * ({b})) / 4096 + 6.5025) * ((64 * ({aa}) - ({a}) * ({a}) + 64 * ({bb}) - ({b}) * ({b})) / 4096 + 58.5225))"
-
-
-def _scaled_list(h: str, width: int, height: int) -> str:
-    """The 144 pixels of 12 x 12 that a frame given as hex has."""
-    cell = _SUM.format(n=width * height, f=f"{_OVER.format('p // 12', f'q // {width}', height, 12)} * {_OVER.format('p % 12', f'q % {width}', width, 12)} * ('0x' || substr({h}, 1 + 2 * q::BIGINT, 2))::INT")
-    return f"list_transform(range(0, 144), lambda p: ((2 * {cell} + {width * height}) // {2 * width * height})::BIGINT)"
-
-
 SQL: dict[str, str] = {
     "sample_silence": f"""WITH {_PCM}, q AS (SELECT recording_id, i, i - row_number() OVER (PARTITION BY recording_id ORDER BY i) AS g FROM x WHERE abs(y * 32768) <= floor(32768 * power(10, -3.0::DOUBLE / 20)))
 SELECT recording_id, 'silence' AS kind, round(min(i) / 100, 6) AS "start", round((max(i) + 1) / 100, 6) AS "end", round(count(*) / 100, 6) AS duration FROM q GROUP BY recording_id, g HAVING count(*) >= 3""",
@@ -90,10 +76,16 @@ k AS (SELECT recording_id, floor(i / 10.0::DOUBLE * 2 + 0.5)::BIGINT AS idx, max
 c AS MATERIALIZED (SELECT recording_id, idx, w, r, substr(h, (1 + 2 * i * w * r)::BIGINT, 2 * w * r) AS h FROM k JOIN d USING (recording_id))
 SELECT recording_id, idx, idx / 2.0::DOUBLE AS time, list_aggregate(list_transform(range(0, 12), lambda p: printf('%02x', ((2 * {_SUM.format(n='w * r', f=f"{_OVER.format('p // 4', 'q // w', 'r', '3')} * {_OVER.format('p % 4', 'q % w', 'w', '4')} * ('0x' || substr(h, 1 + 2 * q::BIGINT, 2))::INT")} + w * r) // (2 * w * r))::INT)), 'string_agg', '') AS pixels FROM c""",
     "compare_pictures": f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-f AS (SELECT doc_id, i, substr(h, 1 + 384 * i, 384) AS h FROM (SELECT *, unnest(range(0, length(h) // 384)) AS i FROM d)),
-p AS MATERIALIZED (SELECT a.doc_id, i, {_scaled_list('a.h', 16, 12)} AS a, {_scaled_list('b.h', 12, 16)} AS b FROM f a JOIN (SELECT doc_id - 1 AS doc_id, i, h FROM f) b USING (doc_id, i)),
-m AS (SELECT doc_id, {_SUM.format(n=144, f='(a[q + 1] - b[q + 1]) * (a[q + 1] - b[q + 1])')} / 144 AS mse, ({' + '.join(_window(y, x) for y in (0, 4) for x in (0, 4))}) / 4 AS ssim FROM p)
-SELECT doc_id::VARCHAR AS recording_id, '12x12' AS resolution, round(10 * log10(65025 / avg(mse)), 6) AS psnr_avg_db, round(10 * log10(65025 / max(mse)), 6) AS psnr_min_db, round(avg(ssim), 6) AS ssim_avg FROM m GROUP BY doc_id""",
+f AS MATERIALIZED (SELECT doc_id, i, substr(h, 1 + 384 * i, 384) AS h FROM (SELECT *, unnest(range(0, length(h) // 384)) AS i FROM d)),
+px AS MATERIALIZED (SELECT doc_id, i, q, ('0x' || substr(h, 1 + 2 * q::BIGINT, 2))::INT AS v FROM (SELECT *, unnest(range(0, 192)) AS q FROM f)),
+o AS MATERIALIZED (SELECT t, s, {_OVER.format('t', 's', '16', '12')} AS w FROM (SELECT unnest(range(0, 12)) AS t), (SELECT unnest(range(0, 16)) AS s) WHERE w > 0),
+a AS (SELECT doc_id, i, q // 16 AS y, t AS x, (24 * sum(w * v) + 192)::BIGINT // 384 AS v FROM px JOIN o ON s = q % 16 GROUP BY doc_id, i, q // 16, t),
+b AS (SELECT doc_id - 1 AS doc_id, i, t AS y, q % 12 AS x, (24 * sum(w * v) + 192)::BIGINT // 384 AS v FROM px JOIN o ON s = q // 12 GROUP BY doc_id, i, q % 12, t),
+p AS MATERIALIZED (SELECT doc_id, i, y, x, a.v AS a, b.v AS b FROM a JOIN b USING (doc_id, i, y, x)),
+w AS (SELECT doc_id, i, wy, wx, sum(a) AS a, sum(b) AS b, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab FROM p, (VALUES (0), (4)) r(wy), (VALUES (0), (4)) c(wx) WHERE y BETWEEN wy AND wy + 7 AND x BETWEEN wx AND wx + 7 GROUP BY ALL),
+s AS (SELECT doc_id, i, avg((2 * a * b / 4096 + 6.5025::DOUBLE) * (2 * (64 * ab - a * b) / 4096 + 58.5225::DOUBLE) / (((a * a + b * b) / 4096 + 6.5025::DOUBLE) * ((64 * aa - a * a + 64 * bb - b * b) / 4096 + 58.5225::DOUBLE))) AS ssim FROM w GROUP BY ALL),
+m AS (SELECT doc_id, i, sum((a - b) * (a - b)) / 144 AS mse FROM p GROUP BY ALL)
+SELECT doc_id::VARCHAR AS recording_id, '12x12' AS resolution, round(10 * log10(65025 / avg(mse)), 6) AS psnr_avg_db, round(10 * log10(65025 / max(mse)), 6) AS psnr_min_db, round(avg(ssim), 6) AS ssim_avg FROM m JOIN s USING (doc_id, i) GROUP BY doc_id""",
     "black_segments": f"""WITH {_HEX}, f AS (SELECT recording_id, idx, substr(h, 1 + 72 * idx, 72) AS h FROM (SELECT recording_id, h, unnest(range(0, length(h) // 72))::INT AS idx FROM h)),
 d AS (SELECT recording_id, idx FROM f WHERE len(list_filter(range(0, 36), lambda i: {_BYTE.format('i')} < 0.40 * 255)) >= 0.6 * 36),
 g AS (SELECT recording_id, idx, idx - row_number() OVER (PARTITION BY recording_id ORDER BY idx) AS g FROM d)
