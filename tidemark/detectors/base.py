@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import spectral, states
+from ..storage import written
 
 
 class Detector(Protocol):
@@ -60,13 +61,12 @@ class Signals:
         return states.visual_activity(self.of("frame_samples", "has_video"))
 
     def slide_states(self, stable: int = states.STABLE, match: int = states.MATCH) -> DataFrame:
-        """States of every recording; kept by thresholds, as three detectors ask for them."""
+        """States of every recording; written once for all detectors that ask for these thresholds."""
         if (stable, match) not in self._states:
             made = states.online_states(states.anchor_segments(self.of("frame_samples", "has_video"), stable), match)
-            self._states[stable, match] = made.persist()
+            self._states[stable, match] = written(made)
         return self._states[stable, match]
 
     def release(self) -> None:
-        for s in self._states.values():
-            s.unpersist()
+        """Forgets what was made; written tables go with the session's checkpoints."""
         self._states.clear()

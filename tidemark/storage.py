@@ -16,7 +16,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        if named is None and not re.match(r"local(\[.*\])?\Z", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint(eager=True)
