@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-import os
-from collections.abc import Callable
 from html import escape
 from typing import Any
 
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.analysis import Result
 from ..schema import SEVERITIES
+from ..sinks import write_files
 from .texts import LANGUAGES, label, told
 
 #: Colours of the grades. Fixed values.
@@ -157,17 +156,16 @@ def reports(result: Result, language: str = "en") -> DataFrame:
     return d.mapInPandas(render, "recording_id string, json string, markdown string, html string")
 
 
-def write_reports(rendered: DataFrame, folder: str, names: Callable[[str], str] = lambda x: x) -> int:
-    """Writes report.json, report.md and report.html of each recording to its own folder; how many."""
-    n = 0
-    for row in rendered.toLocalIterator():
-        own = os.path.join(folder, names(row["recording_id"]))
-        os.makedirs(own, exist_ok=True)
-        for name in ("json", "markdown", "html"):
-            with open(os.path.join(own, "report." + {"markdown": "md"}.get(name, name)), "w", encoding="utf-8") as f:
-                f.write(row[name])
-        n += 1
-    return n
+def report_files(rendered: DataFrame, slugs: DataFrame | None = None) -> DataFrame:
+    """(path, content): report.json, report.md and report.html of each recording, in a folder of its slug (recording_id, slug; else its id)."""
+    d = rendered.withColumn("slug", F.col("recording_id")) if slugs is None else rendered.join(slugs.select("recording_id", "slug"), "recording_id")
+    each = F.inline(F.array(*[F.struct(F.concat("slug", F.lit(f"/report.{end}")).alias("path"), F.encode(name, "UTF-8").alias("content")) for name, end in (("json", "json"), ("markdown", "md"), ("html", "html"))]))
+    return d.select(each)
+
+
+def write_reports(rendered: DataFrame, folder: str, slugs: DataFrame | None = None) -> None:
+    """Writes the report files below folder, each from the task that has rendered it."""
+    write_files(report_files(rendered, slugs), folder)
 
 
 def index_rows(index: DataFrame, slugs: dict[str, str]) -> list[dict]:
