@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import levels, pictures, segments, silence
+from ..operators import clips, levels, pictures, segments, silence
 from ..sources import media
 from . import catalogue, product
 from .catalogue_sql import _DIST, _V
@@ -26,6 +26,15 @@ def interleaved_levels(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("recording_id", "idx", "start", "end", F.explode("channel_rms_db").alias("channel", "level")).withColumn("level", F.round("level", 6))
 
 
+def captured_clips(spark: SparkSession, sf: str) -> DataFrame:
+    """Two clips of each capture as WAV files: their digests."""
+    raw = product._raw(spark, sf)
+    late = (F.col("recording_id").cast("long") % 7) / 2
+    plan = raw.select("recording_id", F.inline(F.array(*[F.struct(F.lit(i).alias("incident"), s.cast("double").alias("clip_start"), F.lit(n).alias("clip_length")) for i, s, n in ((1, F.lit(0.5), 2.0), (2, late, 1.5))])))
+    made = clips.wav_clips(media.pcm_blocks(raw, rate=100, block=64), plan)
+    return made.select("recording_id", "incident", "first", "n", F.md5("content").alias("md5"))
+
+
 def _pictures(spark: SparkSession, sf: str, width, height, fps: float) -> DataFrame:
     d = catalogue._read(spark, sf, "documents")
     raw = d.select(F.col("doc_id").cast("string").alias("recording_id"), width.cast("int").alias("width"), height.cast("int").alias("height"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("content"))
@@ -59,8 +68,9 @@ def long_recording_segments(spark: SparkSession, sf: str) -> DataFrame:
     return segments.chunked_segments(d, 30, 1.0, 64.0).select("recording_id", "pos", "start", "end", "sample_count", "max_internal_distance")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (sample_silence, interleaved_levels, scaled_frames, compare_pictures, black_segments, long_recording_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (sample_silence, interleaved_levels, captured_clips, scaled_frames, compare_pictures, black_segments, long_recording_segments)}
 
+_LE32 = "printf('%02x%02x%02x%02x', ({0}) % 256, ({0}) // 256 % 256, ({0}) // 65536 % 256, ({0}) // 16777216)"
 _OVER = "greatest(0, least(({0} + 1) * {2}, ({1} + 1) * {3}) - greatest({0} * {2}, {1} * {3}))"
 _SUM = "list_sum(list_transform(range(0, {n}), lambda q: {f}))"
 
@@ -70,6 +80,10 @@ SQL: dict[str, str] = {
 SELECT recording_id, 'silence' AS kind, round(min(i) / 100, 6) AS "start", round((max(i) + 1) / 100, 6) AS "end", round(count(*) / 100, 6) AS duration FROM q GROUP BY recording_id, g HAVING count(*) >= 3""",
     "interleaved_levels": f"""WITH {_PCM}, w AS (SELECT recording_id, (i // 2 // 25)::INT AS idx, (i % 2 + 1)::INT AS channel, avg(y * y) AS ms FROM x GROUP BY ALL)
 SELECT recording_id, idx, idx * 0.5::DOUBLE AS "start", idx * 0.5::DOUBLE + 0.5 AS "end", channel, CASE WHEN ms = 0 THEN -120 ELSE round(10 * log10(nullif(ms, 0)), 6) END::DOUBLE AS level FROM w""",
+    "captured_clips": f"""WITH {_HEX}, p AS (SELECT recording_id, h, length(h) // 4 AS total, unnest([1, 2])::INT AS incident FROM h),
+c AS (SELECT recording_id, h, total, incident, CASE incident WHEN 1 THEN 50 ELSE recording_id::BIGINT % 7 * 50 END AS first, CASE incident WHEN 1 THEN 200 ELSE 150 END AS most FROM p),
+n AS (SELECT *, least(most, total - first) AS n FROM c WHERE first < total)
+SELECT recording_id, incident, first, n, md5(unhex('52494646' || {_LE32.format('36 + 2 * n')} || '57415645666d7420100000000100010064000000c800000002001000' || '64617461' || {_LE32.format('2 * n')} || substr(h, 4 * first + 1, 4 * n))) AS md5 FROM n""",
     "scaled_frames": f"""WITH d AS (SELECT doc_id::VARCHAR AS recording_id, (5 + doc_id % 4)::INT AS w, (4 + doc_id % 3)::INT AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
 f AS (SELECT recording_id, w, r, unnest(range(0, length(h) // 2 // (w * r))) AS i FROM d),
 k AS (SELECT recording_id, floor(i / 10.0::DOUBLE * 2 + 0.5)::BIGINT AS idx, max(i) AS i FROM f GROUP BY ALL),
