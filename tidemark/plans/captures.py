@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clips, levels, pictures, segments, silence
+from ..operators import clips, levels, pictures, segments, silence, slugs
 from ..sources import media
 from . import catalogue, product
 from .catalogue_sql import _DIST, _V
@@ -68,7 +68,15 @@ def long_recording_segments(spark: SparkSession, sf: str) -> DataFrame:
     return segments.chunked_segments(d, 30, 1.0, 64.0).select("recording_id", "pos", "start", "end", "sample_count", "max_internal_distance")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (sample_silence, interleaved_levels, captured_clips, scaled_frames, compare_pictures, black_segments, long_recording_segments)}
+def page_slugs(spark: SparkSession, sf: str) -> DataFrame:
+    """Unique slugs of the pages' hosts, some of which end as if they were numbered."""
+    k = F.col("page_id")
+    host = F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/]*)", 1)
+    d = catalogue._read(spark, sf, "pages").select("page_id", F.concat(host, F.when(k % 3 == 0, "-2").otherwise(""), F.when(k % 7 == 0, "-3").otherwise("")).alias("name"))
+    return slugs.unique_slug_rows(d, "page_id").select("page_id", "slug")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (sample_silence, interleaved_levels, captured_clips, scaled_frames, compare_pictures, black_segments, long_recording_segments, page_slugs)}
 
 _LE32 = "printf('%02x%02x%02x%02x', ({0}) % 256, ({0}) // 256 % 256, ({0}) // 65536 % 256, ({0}) // 16777216)"
 _OVER = "greatest(0, least(({0} + 1) * {2}, ({1} + 1) * {3}) - greatest({0} * {2}, {1} * {3}))"
@@ -110,4 +118,11 @@ z AS (SELECT i, time, b AS anchor, 0 AS pos, 0 AS d FROM w WHERE i = 1
   FROM (SELECT w.i, w.time, w.b, z.anchor, z.pos, {_DIST.format('w.b', 'z.anchor')} AS d FROM z JOIN w ON w.i = z.i + 1)),
 g AS (SELECT pos, min(time) AS "start", max(time) AS last, count(*)::INT AS sample_count, max(d) AS max_internal_distance FROM z GROUP BY pos)
 SELECT 'all' AS recording_id, pos, "start", coalesce(lead("start") OVER (ORDER BY pos), last + 1) AS "end", sample_count, max_internal_distance FROM g""",
+    "page_slugs": """WITH RECURSIVE n AS MATERIALIZED (SELECT page_id, row_number() OVER (ORDER BY page_id) AS i,
+  regexp_extract(coalesce(url, ''), '://([^/]*)', 1) || CASE WHEN page_id % 3 = 0 THEN '-2' ELSE '' END || CASE WHEN page_id % 7 = 0 THEN '-3' ELSE '' END AS name FROM pages),
+b AS MATERIALIZED (SELECT page_id, i, CASE WHEN s = '' THEN 'recording' ELSE s END AS base FROM (SELECT *, regexp_replace(regexp_replace(name, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM n)),
+z AS (SELECT 0::BIGINT AS i, 0::BIGINT AS page_id, ''::VARCHAR AS slug, []::VARCHAR[] AS taken
+  UNION ALL SELECT i, page_id, slug, list_append(taken, slug) FROM (SELECT b.i, b.page_id, taken, CASE WHEN NOT list_contains(taken, base) THEN base ELSE
+    base || '-' || list_filter(range(2, b.i + 2), lambda k: NOT list_contains(taken, base || '-' || k))[1] END AS slug FROM z JOIN b ON b.i = z.i + 1))
+SELECT page_id, slug FROM z WHERE i > 0""",
 }
