@@ -1,6 +1,7 @@
 """URL rules: the index against trying every rule."""
 
 import random
+import re
 from collections import Counter
 
 from tidemark.llm import urlrules
