@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.hashing import average_hash, brightness
 
 
+#: Samples that are handed on at once, at about.
+AT_ONCE = 1 << 20
+
+
 class ToolMissing(RuntimeError):
     """A media tool that is asked for is not on this machine."""
 
@@ -73,11 +77,19 @@ def pcm_blocks(raw: DataFrame, rate: int = 22050, block: int = 65536) -> DataFra
     """
 
     def run(parts):
+        names = ["recording_id", "block", "sample_rate", "first", "samples"]
         for part in parts:
+            rows, held = [], 0
             for rec, content in zip(part["recording_id"], part["content"], strict=True):
                 x = np.frombuffer(content[: len(content) // 2 * 2], "<i2")
                 for i in range(0, len(x), block):
-                    yield pd.DataFrame({"recording_id": [rec], "block": [i // block], "sample_rate": [rate], "first": [i], "samples": [x[i : i + block]]})
+                    rows.append((rec, i // block, rate, i, x[i : i + block]))
+                    held += len(rows[-1][-1])
+                    if held >= AT_ONCE:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return raw.mapInPandas(run, "recording_id string, block int, sample_rate int, first bigint, samples array<smallint>")
 
