@@ -105,19 +105,34 @@ def analysis_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def analysis_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """What events of audio and of progress say, in both languages."""
-    e = _result(spark, sf).events.where(F.col("variant").isin("clipping", "feedback", "progress_audio", "blackout"))
-    ja = tl.with_texts(e, "ja").select(*_key_of(), F.lit("ja").alias("lang"), F.concat_ws("\n", "observations").alias("observations"), F.col("possible_interpretation").alias("interpretation"))
-    return ja.unionByName(e.select(*_key_of(), F.lit("en").alias("lang"), F.concat_ws("\n", "observations").alias("observations"), F.col("possible_interpretation").alias("interpretation")))
+    """What every event says, in both languages."""
+    e = _result(spark, sf).events
+    told = lambda df, lang: df.select("recording_id", "type", F.round("start", 3).alias("start"), F.lit(lang).alias("lang"), F.concat_ws("\n", "observations").alias("observations"), F.col("possible_interpretation").alias("interpretation"))
+    return told(e, "en").unionByName(told(tl.with_texts(e, "ja"), "ja"))
 
 
-def _key_of() -> list:
-    return ["recording_id", "type", F.round("start", 3).alias("start")]
+def analysis_explained(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event in a few lines of plain text."""
+    e = _result(spark, sf).events
+    return tl.explained(e).join(e, ["recording_id", "id"]).select("recording_id", "type", F.round("start", 3).alias("start"), "explanation")
 
 
-def analysis_explained(spark: SparkSession, sf: str) -> DataFrame:
-    e = _result(spark, sf).events.where("type = 'blackout'")
-    return tl.explained(e).join(e, ["recording_id", "id"]).select("recording_id", F.round("start", 3).alias("start"), "explanation")
+def analysis_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole Markdown reports, in both languages."""
+    r = _result(spark, sf)
+    told = [documents.reports(r, lang).select("recording_id", F.lit(lang).alias("lang"), "markdown") for lang in ("en", "ja")]
+    return told[0].unionByName(told[1])
+
+
+_JSON_EVENT = "type string, category string, severity string, confidence string, detector string, requires_human_review boolean, start double, end double, duration double, start_timestamp string, end_timestamp string, observations array<string>, possible_interpretation string, source_files array<string>"
+
+
+def analysis_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of the JSON reports, read back in their order."""
+    held = documents.reports(_result(spark, sf)).select("recording_id", F.from_json("json", f"events array<struct<{_JSON_EVENT.replace(' ', ':').replace(',:', ',')}>>").alias("report"))
+    e = held.select("recording_id", F.posexplode("report.events").alias("pos", "e")).select("recording_id", "pos", "e.*")
+    lines = lambda c: F.concat_ws("\n", c)
+    return e.withColumns({"observations": lines("observations"), "source_files": lines("source_files")}).withColumnRenamed("possible_interpretation", "interpretation")
 
 
 def analysis_reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,7 +254,7 @@ def compare_frames(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        analysis_events, analysis_limitations, analysis_index, analysis_summary, analysis_texts, analysis_explained, analysis_reports, incident_windows, slide_states,
+        analysis_events, analysis_limitations, analysis_index, analysis_summary, analysis_texts, analysis_explained, analysis_markdown, analysis_json, analysis_reports, incident_windows, slide_states,
         probe_recordings, freeze_log, silence_log, channel_log, raw_frames, still_segments, sample_levels, channel_samples, spectral_peaks, compare_exports, compare_frames,
     )
 }

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from ..reporting.texts import VARIANTS
+from . import texts_sql
 from .catalogue_sql import _BRIEF, _C, _CLIP, _DIST, _DROP, _E, _L, _ROLL, _V
 
 _REL = _E.replace("epoch_us(ts) // 1000", "epoch_us(ts) // 1000 - 1704067200000")
@@ -43,7 +41,7 @@ pk AS (SELECT recording_id, min(time) AS "start", max(time) + 7200 AS "end", max
 _STABLE = """sg AS (SELECT recording_id, sum(CASE WHEN "end" - "start" >= 2 THEN "end" - "start" ELSE 0 END) / nullif(sum("end" - "start"), 0) AS stability, count(*) AS n FROM s GROUP BY 1)"""
 _GATED = """gated AS (SELECT s.* FROM s JOIN rec USING (recording_id) JOIN sg USING (recording_id) WHERE wide AND NOT coalesce(stability < 0.35, false))"""
 _PATTERNS = f"{_BRIEF}, {_ROLL}".replace("FROM s WINDOW", "FROM gated WINDOW").replace("FROM s\n", "FROM gated\n").replace("FROM s WHERE", "FROM gated WHERE")
-_PATTERNS = _PATTERNS.replace('CASE WHEN s3 = s1 THEN b3 ELSE e2 END AS "end"', 'CASE WHEN s3 = s1 THEN b3 ELSE e2 END AS "end", d1').replace('lead("start", 3) OVER w AS b3', 'lead("start", 3) OVER w AS b3, lead("end", 1) OVER w - lead("start", 1) OVER w AS d1')
+_PATTERNS = _PATTERNS.replace('CASE WHEN s3 = s1 THEN b3 ELSE e2 END AS "end"', 'CASE WHEN s3 = s1 THEN b3 ELSE e2 END AS "end", d0, d1, d2, d3').replace('lead("start", 3) OVER w AS b3', 'lead("start", 3) OVER w AS b3, "end" - "start" AS d0, ' + ", ".join(f'lead("end", {k}) OVER w - lead("start", {k}) OVER w AS d{k}' for k in (1, 2, 3)))
 
 _ALL = f"""WITH {_L.replace(_E, _REL)}, {_CHANNELS}, {_RECORDINGS}, {_STATES}, {_FREEZE}, {_PROGRESS}, {_CHANNEL_RUNS}, {_PEAKS}, {_STABLE}, {_GATED}, {_PATTERNS}, {_CLIP}, {_DROP},
 heard AS (SELECT recording_id FROM rec WHERE a), seen AS (SELECT recording_id FROM rec WHERE v),
@@ -61,36 +59,59 @@ ev AS (
 ), evc AS (SELECT *, CASE WHEN type IN ('blackout', 'freeze') THEN 'video' WHEN type LIKE '%slide%' THEN 'presentation' WHEN type LIKE 'progress%' THEN 'progress' ELSE 'audio' END AS category FROM ev)"""
 
 
-def _text(template: str, facts: dict[str, str]) -> str:
-    """SQL for a template of tidemark.reporting.texts, with the facts as SQL."""
-    out = []
-    for part in re.split(r"(\{\w+:[^}]*\})", template):
-        if m := re.match(r"\{(\w+):(.*)\}$", part):
-            out.append(f"printf('%.0f%%', 100 * ({facts[m[1]]}))" if m[2].endswith("%") else f"printf('%{m[2]}', {facts[m[1]]})")
-        elif part:
-            out.append("'" + part.replace("'", "''") + "'")
-    return " || ".join(out)
+# the facts that findings state; states are numbered by their first time
+_NUMBERED = """nr AS (SELECT recording_id, state_id, row_number() OVER (PARTITION BY recording_id ORDER BY min(pos)) - 1 AS id FROM s GROUP BY 1, 2),
+cv AS (SELECT cr.recording_id, label, "start", "end", string_agg('ch' || k || ': ' || printf('%.1f', level) || ' dBFS', ', ' ORDER BY k) AS levels
+  FROM cr JOIN (SELECT *, coalesce(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type), 0) AS k FROM c) c ON c.recording_id = cr.recording_id AND c.idx = (cr."end" - 86400) // 86400 GROUP BY ALL),
+rv AS (SELECT roll.*, a.id AS n0, b.id AS n1 FROM roll JOIN nr a ON a.recording_id = roll.recording_id AND a.state_id = roll.state_id JOIN nr b ON b.recording_id = roll.recording_id AND b.state_id = other_state),
+bv AS (SELECT brief.*, x.id AS n, y.id AS before, z.id AS behind FROM brief JOIN nr x USING (recording_id, state_id)
+  JOIN nr y ON y.recording_id = brief.recording_id AND y.state_id = previous_state JOIN nr z ON z.recording_id = brief.recording_id AND z.state_id = next_state)"""
+_SPAN = '"end" - "start"'
 
 
-def _told(variant: str, kind: str, source: str, facts: dict[str, str]) -> str:
-    rows = []
-    for lang, texts in VARIANTS.items():
-        observations, interpretation = texts[variant]
-        joined = " || chr(10) || ".join(_text(o, facts) for o in observations)
-        quoted = interpretation.replace("'", "''")
-        rows.append(f"""SELECT recording_id, '{kind}' AS type, round("start", 3) AS "start", '{lang}' AS lang, {joined} AS observations, '{quoted}' AS interpretation FROM {source}""")
-    return " UNION ALL ".join(rows)
+def _typed(kind: str, relation: str, columns: str = "*") -> str:
+    return f"(SELECT {columns}, {kind} AS type FROM {relation})"
 
 
-_SPAN = '"end" - "start"'
-_BLACK = """(SELECT recording_id, ms / 1000 AS "start", ms / 1000 + value / 100 AS "end", value / 100 AS d FROM e SEMI JOIN seen USING (recording_id) WHERE event_type = 'error' AND value / 100 >= 0.1)"""
-_HEARD = "(FROM {} SEMI JOIN heard USING (recording_id))"
-_TEXTS = " UNION ALL ".join([
-    _told("blackout", "blackout", _BLACK, {"duration": "d"}),
-    _told("clipping", "clipping", _HEARD.format("clip"), {"duration": "duration", "peak": "max_peak_db", "flat": "max_flat_factor"}),
-    _told("progress_audio", "progression_interruption", "(FROM pr WHERE a)", {}),
-    _told("feedback", "possible_feedback_howling", _HEARD.format("pk"), {"duration": _SPAN, "frequency": "frequency", "concentration": "top"}),
+_BLACK = """e SEMI JOIN seen USING (recording_id) WHERE event_type = 'error' AND value / 100 >= 0.1"""
+_FINDINGS = texts_sql.findings([
+    (_typed("'blackout'", _BLACK, 'recording_id, ms / 1000 AS "start", ms / 1000 + value / 100 AS "end", value / 100 AS d'), "'blackout'", {"duration": "d"}),
+    (_typed("'freeze'", "fz2"), "CASE WHEN NOT heard THEN 'freeze_alone' WHEN active THEN 'freeze_active' ELSE 'freeze_quiet' END", {"duration": "d"}),
+    (_typed("'clipping'", "clip SEMI JOIN heard USING (recording_id)"), "'clipping'", {"duration": "duration", "peak": "max_peak_db", "flat": "max_flat_factor"}),
+    (_typed("'channel_' || label", "cv SEMI JOIN heard USING (recording_id)"), "'channel_' || label", {"duration": _SPAN, "levels": "levels"}),
+    (_typed("'progression_interruption'", "pr"), "CASE WHEN a THEN 'progress_audio' ELSE 'progress_alone' END", {"duration": _SPAN}),
+    (_typed("'possible_audio_dropout'", "dropout SEMI JOIN heard USING (recording_id)"), "'dropout'", {"duration": "duration", "level": "first_level", "context": "43200"}),
+    (_typed("'slide_rollback_pattern'", "rv"), "CASE WHEN d1 < 20000 THEN CASE WHEN confirmed_repeat THEN 'rollback_confirmed' ELSE 'rollback_brief' END WHEN confirmed_repeat THEN 'rollback_long_repeat' ELSE 'rollback_long' END", {"s0": "n0", "s1": "n1", "d0": "d0", "d1": "d1", "d2": "d2", "d3": "d3"}),
+    (_typed("'brief_unexpected_slide'", "bv"), "'brief'", {"duration": _SPAN, "state": "n", "previous": "before", "next": "behind"}),
+    (_typed("'possible_feedback_howling'", "pk SEMI JOIN heard USING (recording_id)"), "'feedback'", {"duration": _SPAN, "frequency": "frequency", "concentration": "top"}),
 ])
+_SAID = f"""{_NUMBERED}, fnd AS ({_FINDINGS}), snt(lang, variant, said, meant) AS (VALUES {texts_sql.rows(texts_sql.SENTENCES)}),
+said AS (SELECT recording_id, lang, type, "start", "end", list_transform(said, lambda t: {texts_sql.filled()}) AS observations, meant AS interpretation FROM fnd JOIN snt USING (variant)),
+told AS (SELECT said.*, severity, confidence, category, detector, list_position(['blackout', 'freeze', 'clipping', 'channel_imbalance', 'progression_interruption', 'audio_dropout', 'slide_rollback_pattern', 'brief_unexpected_slide', 'feedback_howling_experimental'], detector) AS ord
+  FROM said JOIN evc USING (recording_id, type, "start", "end"))"""
+
+
+def _markdown(lang: str) -> str:
+    """SQL of whole Markdown reports in a language."""
+    p = {k: texts_sql.literal(v)[1:-1] for k, v in texts_sql.PARTS[lang].items()}
+    span = f"{texts_sql.clock('_start')} || ' - ' || {texts_sql.clock('_end')}"
+    length = "printf('%.2f', _end - _start) || 's'"
+    return f"""SELECT rec.recording_id, '{lang}' AS lang, array_to_string(['# {p["title"]}', '', '**{p["file"]}:** `/media/' || rec.recording_id || '`  ',
+  '**{p["duration"]}:** ' || CASE WHEN duration > 0 THEN {texts_sql.clock("duration")} ELSE '{p["unknown"]}' END || '  ',
+  '**{p["total"]}:** ' || coalesce(n, 0) || ' ({p["high"]}: ' || coalesce(high, 0) || ', {p["medium"]}: ' || coalesce(medium, 0) || ', {p["low"]}: ' || coalesce(low, 0) || ')', '', '## {p["timeline"]}', ''
+  ] || CASE WHEN n > 0 THEN ['{p["table"]}', '|---|---|---|---|---|---|'] || lines ELSE ['{p["no_findings"]}'] END || ['', '## {p["detailed"]}', ''] || coalesce(flatten(details), ['{p["none"]}'])
+  || CASE WHEN limits IS NULL THEN [] ELSE ['## {p["limitations"]}', ''] || limits || [''] END, chr(10)) AS markdown
+FROM rec LEFT JOIN (
+  SELECT recording_id, count(*) AS n, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
+    list('| ' || {span} || ' | ' || {length} || ' | ' || wc.word || ' | ' || ws.word || ' | ' || wf.word || ' | ' || type || ' |' ORDER BY _start, _end, ord, type) AS lines,
+    list(['### ' || {span} || ' (' || {length} || ') -- ' || upper(ws.word) || ' / ' || type, '', '- **{p["category"]}**: ' || wc.word, '- **{p["confidence"]}**: ' || wf.word, '- **{p["detector"]}**: ' || detector, '', '**{p["observed"]}:**']
+      || list_transform(observations, lambda o: '- ' || o) || ['', '**{p["meant"]}:** ' || interpretation, '', '**{p["review"]}**', ''] ORDER BY _start, _end, ord, type) AS details
+  FROM (SELECT *, "start" AS _start, "end" AS _end FROM told WHERE lang = '{lang}') t
+  JOIN wrd ws ON ws.lang = t.lang AND ws.kind = 'severity' AND ws.key = severity JOIN wrd wc ON wc.lang = t.lang AND wc.kind = 'category' AND wc.key = category
+  JOIN wrd wf ON wf.lang = t.lang AND wf.kind = 'severity' AND wf.key = confidence GROUP BY recording_id
+) f USING (recording_id) LEFT JOIN (SELECT recording_id, list('- ' || limitation ORDER BY ord) AS limits FROM lm GROUP BY 1) USING (recording_id)"""
+
+
 _CLOCK = """CASE WHEN x IS NULL THEN '' ELSE printf('%02d:%02d:%02d.%03d', x // 3600000, x // 60000 % 60, x // 1000 % 60, x % 1000) END"""
 
 _HEX = "h AS (SELECT doc_id::VARCHAR AS recording_id, hex(encode(coalesce(text, ''))) AS h FROM documents)"
@@ -109,23 +130,28 @@ _PROBE = """o AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders), pb AS
   FROM o
 ), pr AS (SELECT *, width || 'x' || height AS resolution FROM pb)"""
 
-_COMPARED = ("resolution", "frame_rate", "codec_name", "pix_fmt", "bitrate", "duration")
-
-SQL: dict[str, str] = {
-    "analysis_events": f"""{_ALL} SELECT recording_id, round("start", 5) AS "start", round("end", 5) AS "end", type, category, severity, confidence, detector, true AS requires_human_review FROM evc""",
-    "analysis_limitations": f"""{_ALL}, lim(ord, name, needs) AS (VALUES (0, 'blackout', 'v'), (1, 'freeze', 'v'), (2, 'clipping', 'a'), (4, 'progression_interruption', 'v'), (5, 'audio_dropout', 'a'), (6, 'slide_rollback_pattern', 'v'), (7, 'brief_unexpected_slide', 'v'))
-SELECT recording_id, -1 AS ord, '''/media/' || recording_id || ''' could not be probed as a media file with video or audio streams; no detectors were run.' AS limitation FROM rec WHERE NOT v AND NOT a
+#: Why detectors were left out.
+_LIMITS = """lim(ord, name, needs) AS (VALUES (0, 'blackout', 'v'), (1, 'freeze', 'v'), (2, 'clipping', 'a'), (4, 'progression_interruption', 'v'), (5, 'audio_dropout', 'a'), (6, 'slide_rollback_pattern', 'v'), (7, 'brief_unexpected_slide', 'v')), lm AS (SELECT recording_id, -1 AS ord, '''/media/' || recording_id || ''' could not be probed as a media file with video or audio streams; no detectors were run.' AS limitation FROM rec WHERE NOT v AND NOT a
 UNION ALL SELECT recording_id, ord, 'Detector ''' || name || ''' skipped: input has no ' || CASE needs WHEN 'v' THEN 'video' ELSE 'audio' END || ' stream.' FROM rec, lim WHERE (v OR a) AND CASE needs WHEN 'v' THEN NOT v ELSE NOT a END
 UNION ALL SELECT recording_id, 3, 'Detector ''channel_imbalance'' skipped: input has 0 audio channel(s); channel-imbalance detection needs at least 2.' FROM rec WHERE v AND NOT a
 UNION ALL SELECT recording_id, ord, 'Detector ''' || name || ''' skipped: ' || CASE WHEN NOT wide THEN 'content is not landscape (aspect ratio 0.56 < 1.2); slide decks and screen shares are virtually always landscape, so this is very unlikely to be one.'
     ELSE 'content does not look slide-like (stability ratio ' || printf('%.2f', stability) || ' < 0.35); this detector assumes long-held slide states and would otherwise flood the report on ordinary video.' END
-  FROM rec JOIN sg USING (recording_id), lim WHERE v AND ord IN (6, 7) AND (NOT wide OR stability < 0.35) AND n >= CASE ord WHEN 6 THEN 3 ELSE 2 END""",
+  FROM rec JOIN sg USING (recording_id), lim WHERE v AND ord IN (6, 7) AND (NOT wide OR stability < 0.35) AND n >= CASE ord WHEN 6 THEN 3 ELSE 2 END)"""
+_COMPARED = ("resolution", "frame_rate", "codec_name", "pix_fmt", "bitrate", "duration")
+
+SQL: dict[str, str] = {
+    "analysis_events": f"""{_ALL} SELECT recording_id, round("start", 5) AS "start", round("end", 5) AS "end", type, category, severity, confidence, detector, true AS requires_human_review FROM evc""",
+    "analysis_limitations": f"{_ALL}, {_LIMITS} SELECT recording_id, ord, limitation FROM lm",
     "analysis_index": f"""{_ALL} SELECT rec.recording_id, '/media/' || rec.recording_id AS path, true AS ok, any_value(duration) AS duration, count(type) AS total, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low
 FROM rec LEFT JOIN evc USING (recording_id) GROUP BY 1""",
     "analysis_summary": f"""{_ALL} SELECT recording_id, count(*) AS total_events, count(*) FILTER (category = 'video') AS video, count(*) FILTER (category = 'audio') AS audio, count(*) FILTER (category = 'presentation') AS presentation, count(*) FILTER (category = 'progress') AS progress FROM evc GROUP BY 1""",
-    "analysis_texts": f"{_ALL} {_TEXTS}",
-    "analysis_explained": f"""{_ALL} SELECT recording_id, round("start", 3) AS "start", 'Event: blackout (video)' || chr(10) || 'Time: ' || printf('%.2fs - %.2fs (%.2fs)', "start", "end", "end" - "start") || chr(10) || 'Severity: ' || CASE WHEN d >= 2 THEN 'high' WHEN d >= 0.5 THEN 'medium' ELSE 'low' END || '   Confidence: high' || chr(10) || chr(10)
-|| 'Observed:' || chr(10) || '  - ' || {_text(VARIANTS['en']['blackout'][0][0], {'duration': 'd'})} || chr(10) || chr(10) || 'Possible interpretation:' || chr(10) || '  {VARIANTS['en']['blackout'][1]}' || chr(10) || chr(10) || 'Human verification required.' || chr(10) AS explanation FROM {_BLACK}""",
+    "analysis_texts": f"""{_ALL}, {_SAID} SELECT recording_id, type, round("start", 3) AS "start", lang, array_to_string(observations, chr(10)) AS observations, interpretation FROM said""",
+    "analysis_explained": f"""{_ALL}, {_SAID} SELECT recording_id, type, round("start", 3) AS "start", 'Event: ' || type || ' (' || category || ')' || chr(10) || 'Time: ' || printf('%.2fs - %.2fs (%.2fs)', "start", "end", "end" - "start") || chr(10) || 'Severity: ' || severity || '   Confidence: ' || confidence || chr(10) || chr(10)
+|| 'Observed:' || chr(10) || array_to_string(list_transform(observations, lambda o: '  - ' || o || chr(10)), '') || chr(10) || 'Possible interpretation:' || chr(10) || '  ' || interpretation || chr(10) || chr(10) || 'Human verification required.' || chr(10) AS explanation FROM told WHERE lang = 'en'""",
+    "analysis_markdown": f"""{_ALL}, {_SAID}, {_LIMITS}, wrd(lang, kind, key, word) AS (VALUES {texts_sql.rows(texts_sql.WORDS)}) {_markdown("en")} UNION ALL {_markdown("ja")}""",
+    "analysis_json": f"""{_ALL}, {_SAID} SELECT recording_id, (row_number() OVER (PARTITION BY recording_id ORDER BY "start", "end", ord, type) - 1)::INT AS pos, type, category, severity, confidence, detector, true AS requires_human_review,
+  printf('%.3f', "start")::DOUBLE AS "start", printf('%.3f', "end")::DOUBLE AS "end", printf('%.3f', "end" - "start")::DOUBLE AS duration, {texts_sql.clock('"start"')} AS start_timestamp, {texts_sql.clock('"end"')} AS end_timestamp,
+  array_to_string(observations, chr(10)) AS observations, interpretation, '/media/' || recording_id AS source_files FROM told WHERE lang = 'en'""",
     "analysis_reports": f"""{_ALL}, r AS (SELECT rec.recording_id, count(type) AS n, count(*) FILTER (severity = 'high') AS high, round_even(min(evc."start") * 1000, 0)::BIGINT AS x FROM rec LEFT JOIN evc USING (recording_id) GROUP BY 1)
 SELECT recording_id, '/media/' || recording_id AS path, n AS total_events, high, n AS in_json, n AS in_markdown, n AS in_html, {_CLOCK} AS first FROM r""",
     "incident_windows": f"""{_ALL}, t AS (SELECT recording_id, "start", "end", severity, 0 AS d FROM ev WHERE type = 'clipping' UNION ALL SELECT recording_id, "start", "end", severity, 1 FROM ev WHERE type = 'possible_audio_dropout'),
