@@ -13,7 +13,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 COLUMNS = {
     "op1": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op2": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
-    "op3": "conv_id turn role",
+    "op3": "conv_id turn role own_text parent_turn thread_turn thread_place",
+    "quoted": "conv_id turn role own_text parent_turn thread_turn thread_place",
     "op4": "doc_id size source_size target taken",
     "op5": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op6": "query_id rank vec_id score",

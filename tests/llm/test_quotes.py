@@ -1,12 +1,14 @@
 """Quoted passages, their originals and reply order."""
 
+import random
+
 from tidemark.llm import quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
 def linked(spark, rows):
-    return quotes.link_quotes(spark.createDataFrame(rows, SCHEMA)).collect()
+    return quotes.in_reply_order(quotes.link_quotes(spark.createDataFrame(rows, SCHEMA))).collect()
 
 
 def test_parse_levels_and_own_text():
@@ -54,3 +56,65 @@ def test_passages_from_several_messages_and_the_most_of_one(spark):
     assert (got[3], got[6]) == (0, 4)
     d = [(1, 0, "a", "yes. no."), (1, 1, "a", "yes."), (1, 2, "b", "> yes.\nx"), (1, 3, "b", "> no.\nx")]
     assert {r.turn: r.parent_turn for r in linked(spark, d)} == {0: None, 1: None, 2: 1, 3: 0}
+
+
+def plain(rows):
+    """{(conv, turn): (n_linked, parent, thread, place)} by loops over all messages of each conversation."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        here = [(turn, *quotes._split(text)) for c, turn, _, text in rows if c == conv]
+        said = [(turn, set(quotes._said(own))) for turn, own, _ in here]
+        asked = {}
+        for turn, _, runs in here:
+            for p in quotes._passages(runs):
+                asked.setdefault(turn, {})[p["level"], p["hash"]] = p["ways"]
+        parent, linked = {}, {}
+        for turn, passages in asked.items():
+            links = []
+            for (level, h), ways in passages.items():
+                firsts = [t for t, s in said if h in s]
+                if firsts and min(firsts) < turn:
+                    links.append((-level, min(firsts)))
+                    continue
+                found = []
+                for way in filter(None, ways):
+                    share = sum(any(t < turn and x in s for t, s in said) for x in way) / len(way)
+                    best = max(((sum(x in s for x in way), -t) for t, s in said if t < turn), default=(0, 0))
+                    if share > 0.5:
+                        found.append((share, best[0] / len(way), best[1]))
+                if found:
+                    links.append((-level, -max(found)[2]))
+            if links:
+                parent[turn], linked[turn] = max(links)[1], len(links)
+        root = {}
+        for turn in sorted({t for t, _ in said}):
+            root[turn] = root[parent[turn]] if turn in parent else turn
+        for turn, r in root.items():
+            out[conv, turn] = (linked.get(turn, 0), parent.get(turn), r, sum(x == r and t < turn for t, x in root.items()))
+    return out
+
+
+def test_random_threads_equal_plain_loops(spark):
+    rng = random.Random(5)
+    rows = []
+    for conv in range(12):
+        texts = []
+        for turn in range(30):
+            lines = [rng.choice(["Yes.", "No!", "One two. Three.", "four five", "Six? Seven."]) + rng.choice(["", f" {rng.randrange(6)}."]) for _ in range(rng.randrange(1, 4))]
+            if texts and rng.random() < 0.7:
+                old = rng.choice(texts).split("\n")
+                a = rng.randrange(len(old))
+                cut = old[a : a + rng.randrange(1, 4)] + ([rng.choice(["made up.", "Yes."])] if rng.random() < 0.3 else [])
+                lines = [f"> {x}" for x in cut] + lines
+            texts.append("\n".join(lines))
+            rows.append((conv, turn * (700 if conv % 2 else 1), "a", texts[-1]))
+    got = {(r.conv_id, r.turn): (r.n_linked, r.parent_turn, r.thread_turn, r.thread_place) for r in linked(spark, rows)}
+    assert got == plain(rows) and sum(x[3] > 3 for x in got.values()) > 20
+
+
+def test_very_long_text_and_one_long_thread(spark):
+    long = "\n".join(f"line {i} of many." for i in range(40000))
+    rows = [(1, 0, "a", long), (1, 1, "b", "> line 39999 of many.\nyes"), (1, 2, "a", "\n".join(f"> {x}" for x in long.split("\n")) + "\nagain")]
+    assert [(r.parent_turn, r.thread_place) for r in linked(spark, rows)] == [(None, 0), (0, 1), (0, 2)]
+    rows = [(1, i, "a", "start" if i == 0 else "> start\nx") for i in range(3000)]
+    assert [r.thread_place for r in linked(spark, rows)] == list(range(3000))

@@ -20,8 +20,17 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = quotes.link_quotes(table(spark, sf_dir, "conversations"))
-    return linked.withColumn("own_sha256", F.sha2(F.col("own_text").cast("binary"), 256)).drop("text", "own_text")
+    return quotes.link_quotes(table(spark, sf_dir, "conversations")).drop("text")
+
+
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking where there are quotes: every message of `conversations` quotes the one at half its turn."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    quoted = said.groupBy("conv_id", F.col("turn").alias("asked")).agg(F.min("text").alias("quoted"))
+    replies = said.withColumn("asked", F.when(F.col("turn") > 0, F.floor(F.col("turn") / 2))).join(quoted, ["conv_id", "asked"], "left")
+    quote = F.concat(F.lit("> "), F.replace("quoted", F.lit("\n"), F.lit("\n> ")), F.lit("\n"))
+    replies = replies.select("conv_id", "turn", "role", F.concat(F.coalesce(quote, F.lit("")), "text").alias("text"))
+    return quotes.link_quotes(replies).drop("text")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_audio": op2_audio,
     "op3_quotes": op3_quotes,
+    "quoted_replies": quoted_replies,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op6_topk": op6_topk,
@@ -168,7 +178,34 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 FROM v JOIN c USING (rid)"""
 
 
+#: Each message's quote belongs to the first message that says its text as a whole, a paragraph or a line.
+_REPLIES_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+), g AS (
+  SELECT conv_id, turn AS asked, min(t) AS quoted FROM c GROUP BY ALL
+), n AS (
+  SELECT c.*, trim(regexp_replace(lower(quoted), '\s+', ' ', 'g')) AS q, quoted IS NOT NULL AS quotes FROM c LEFT JOIN g ON g.conv_id = c.conv_id AND c.turn > 0 AND asked = c.turn // 2
+), p AS (
+  SELECT conv_id, turn, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS said
+  FROM (SELECT conv_id, turn, unnest([t] || string_split(t, chr(10)) || string_split_regex(t, '\n[^\S\n]*\n')) AS x FROM c)
+), f AS (
+  SELECT conv_id, said, min(turn) AS source FROM p GROUP BY ALL
+), l AS (
+  SELECT n.*, source AS parent FROM n LEFT JOIN f ON f.conv_id = n.conv_id AND said = q AND q <> '' AND source < n.turn
+), a AS (
+  SELECT conv_id, turn, min(parent) AS parent FROM l GROUP BY ALL
+), r(conv_id, turn, root) AS (
+  SELECT conv_id, turn, turn FROM a WHERE parent IS NULL UNION SELECT a.conv_id, a.turn, r.root FROM r JOIN a ON a.conv_id = r.conv_id AND a.parent = r.turn
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, root ORDER BY turn) - 1 AS place FROM r
+)
+SELECT l.conv_id, l.turn, role, trim(t, chr(10)) AS own_text, coalesce(q <> '', false)::INT AS quote_depth, coalesce(q <> '', false)::INT AS n_quotes, (parent IS NOT NULL)::BIGINT AS n_linked, parent AS parent_turn, root AS thread_turn, place AS thread_place
+FROM l JOIN k USING (conv_id, turn)"""
+
+
 SQL: dict[str, str] = {
+    "quoted_replies": _REPLIES_SQL,
     "op12_codes": _codes_sql(),
     "op1_secrets": _secrets_sql(),
     "op4_mixing": r"""

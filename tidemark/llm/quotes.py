@@ -6,7 +6,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stable
@@ -91,19 +91,22 @@ def _said(own: list[str]) -> list[str]:
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """messages with own_text, quote_depth, n_quotes, n_linked, parent_turn and thread_turn, in reply order.
+    """messages with own_text, quote_depth, n_quotes, n_linked, parent_turn, thread_turn and thread_place.
 
     A quoted passage belongs to the first message of its conversation that says it as its own text,
     a paragraph or a line, if that comes before. A passage without one (trimmed, or put together
     from several places) is linked if earlier messages say more than half of its different
     sentences, taken by lines or across the lines of a paragraph, whichever finds the larger
     share; it belongs to the first of those that say the most of them. parent_turn: of the links at the lowest level the latest turn (null: none).
-    thread_turn: the turn at the end of the chain of parents, the message's own without one. Rows are
-    sorted by conversation, thread, turn: threads lie together, and what is answered stands
-    before the answer. Rows that repeat a conversation and turn share the least of their parents.
-    Null conversations or turns link with nothing. Columns of these names are replaced.
+    thread_turn: the turn at the end of the chain of parents, the message's own without one.
+    thread_place: how many turns of its thread come before it (0: it starts the thread), so
+    conversation, thread_turn and thread_place are the reply order, in which what is answered
+    stands before the answer; it holds however rows are stored (`in_reply_order` sorts them).
+    Rows that repeat a conversation and turn are linked by all their quotes together and share parent and place.
+    Turns are numbers. Null conversations or turns link with nothing, a null text is empty, texts of
+    any length are read whole, an empty table gives an empty one. Columns of these names are replaced.
     """
-    added = ("own_text", "quote_depth", "n_quotes", "n_linked", "parent_turn", "thread_turn")
+    added = ("own_text", "quote_depth", "n_quotes", "n_linked", "parent_turn", "thread_turn", "thread_place")
     base = messages.drop(*added)
 
     @F.pandas_udf(f"own string, depth int, n int, quoted {_PASSAGES}, said array<string>")
@@ -131,7 +134,12 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     links = whole.unionByName(_trimmed(quoted.join(whole, passage, "left_anti"), said))
     parent = links.groupBy("conv", "turn").agg(F.countDistinct("level", "hash").alias("n_linked"), F.max_by("source", F.struct(-F.col("level"), "source")).alias("parent_turn"))
     parent = stable(parent)
-    return _threads(rows.drop("__p"), parent, conv_col, turn_col).select(*base.columns, *added).orderBy(conv_col, "thread_turn", turn_col)
+    return _threads(rows.drop("__p"), parent, conv_col, turn_col).select(*base.columns, *added)
+
+
+def in_reply_order(linked: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """Linked messages sorted by conversation, thread and place."""
+    return linked.orderBy(conv_col, "thread_turn", "thread_place")
 
 
 def _trimmed(quoted: DataFrame, said: DataFrame) -> DataFrame:
@@ -162,6 +170,24 @@ def _threads(rows: DataFrame, parent: DataFrame, conv_col: str, turn_col: str) -
         after = stable(jump.join(step, ["conv", "thread_turn"], "left").select("conv", "turn", F.coalesce("__to", "thread_turn").alias("thread_turn"), F.col("__to").isNotNull().alias("moved")))
         moved = after.where("moved").limit(1).count() > 0
         jump = after.drop("moved")
-    known = parent.join(jump, ["conv", "turn"]).withColumnsRenamed({"conv": "__conv", "turn": "__turn"})
+    known = parent.join(_placed(jump), ["conv", "turn"]).withColumnsRenamed({"conv": "__conv", "turn": "__turn"})
     out = rows.join(known, (F.col(conv_col) == F.col("__conv")) & (F.col(turn_col) == F.col("__turn")), "left").drop("__conv", "__turn")
-    return out.withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)), "thread_turn": F.coalesce("thread_turn", F.col(turn_col))})
+    return out.withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)), "thread_turn": F.coalesce("thread_turn", F.col(turn_col)), "thread_place": F.coalesce("thread_place", F.lit(0).cast("long"))})
+
+
+#: Turns of a thread that are numbered in one group.
+STRETCH = 1024
+
+
+def _placed(answers: DataFrame) -> DataFrame:
+    """answers (conv, turn, thread_turn) with thread_place, from 1: the turn that starts a thread is no answer.
+
+    Stretches of turns are numbered apart and start where the ones before them end, so a thread of any length is spread.
+    """
+    d = answers.withColumn("__s", F.floor(F.col("turn") / STRETCH))
+    thread = ["conv", "thread_turn"]
+    starts = d.groupBy(*thread, "__s").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*thread).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(*thread, "__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*thread, "__s").orderBy("turn")
+    return d.join(starts, [*thread, "__s"]).select("conv", "turn", "thread_turn", (F.col("__before") + F.row_number().over(within)).alias("thread_place"))
