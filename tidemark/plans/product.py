@@ -105,23 +105,20 @@ def analysis_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def analysis_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """What every event says, in both languages."""
-    e = _result(spark, sf).events
-    told = lambda df, lang: df.select("recording_id", "type", F.round("start", 3).alias("start"), F.lit(lang).alias("lang"), F.concat_ws("\n", "observations").alias("observations"), F.col("possible_interpretation").alias("interpretation"))
-    return told(e, "en").unionByName(told(tl.with_texts(e, "ja"), "ja"))
+    """What every event says, in both languages; events are found once."""
+    said = lambda lang: F.struct(F.lit(lang).alias("lang"), F.concat_ws("\n", "observations").alias("observations"), F.col("possible_interpretation").alias("interpretation"))
+    e = tl.with_texts(_result(spark, sf).events.withColumn("en", said("en")), "ja")
+    return e.select("recording_id", "type", F.round("start", 3).alias("start"), F.inline(F.array("en", said("ja"))))
 
 
 def analysis_explained(spark: SparkSession, sf: str) -> DataFrame:
     """Every event in a few lines of plain text."""
-    e = _result(spark, sf).events
-    return tl.explained(e).join(e, ["recording_id", "id"]).select("recording_id", "type", F.round("start", 3).alias("start"), "explanation")
+    return tl.explained(_result(spark, sf).events, "type", F.round("start", 3).alias("start")).drop("id")
 
 
 def analysis_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """Whole Markdown reports, in both languages."""
-    r = _result(spark, sf)
-    told = [documents.reports(r, lang).select("recording_id", F.lit(lang).alias("lang"), "markdown") for lang in ("en", "ja")]
-    return told[0].unionByName(told[1])
+    return documents.reports_in(_result(spark, sf), ("en", "ja")).select("recording_id", "lang", "markdown")
 
 
 _JSON_EVENT = "type string, category string, severity string, confidence string, detector string, requires_human_review boolean, start double, end double, duration double, start_timestamp string, end_timestamp string, observations array<string>, possible_interpretation string, source_files array<string>"

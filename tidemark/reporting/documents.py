@@ -134,6 +134,11 @@ def html_report(media: dict, events: list[dict], limitations: list[str], languag
 
 def reports(result: Result, language: str = "en") -> DataFrame:
     """(recording_id, json, markdown, html) of every recording, each rendered by the task that holds its events."""
+    return reports_in(result, (language,)).drop("lang")
+
+
+def reports_in(result: Result, languages: tuple[str, ...]) -> DataFrame:
+    """(recording_id, lang, json, markdown, html) of every recording in each of the languages; events are found once for all of them."""
     r = result.recordings
     optional = [c if c in r.columns else F.lit(None).cast("double" if c == "frame_rate" else "int").alias(c) for c in ("width", "height", "frame_rate")]
     media = r.select("recording_id", F.struct("path", "duration", "has_video", "has_audio", *optional).alias("media"))
@@ -150,10 +155,11 @@ def reports(result: Result, language: str = "en") -> DataFrame:
                 m, lim = dict(m), [] if lim is None else list(lim)
                 size = [m.pop("width", None), m.pop("height", None)]
                 m["resolution"] = None if any(x is None or (isinstance(x, float) and math.isnan(x)) for x in size) else [int(x) for x in size]
-                rows.append((rec, json_report(m, found, lim), markdown_report(m, found, lim, language), html_report(m, found, lim, language)))
-            yield pd.DataFrame(rows, columns=["recording_id", "json", "markdown", "html"])
+                plain = json_report(m, found, lim)
+                rows += [(rec, lang, plain, markdown_report(m, found, lim, lang), html_report(m, found, lim, lang)) for lang in languages]
+            yield pd.DataFrame(rows, columns=["recording_id", "lang", "json", "markdown", "html"])
 
-    return d.mapInPandas(render, "recording_id string, json string, markdown string, html string")
+    return d.mapInPandas(render, "recording_id string, lang string, json string, markdown string, html string")
 
 
 def report_files(rendered: DataFrame, slugs: DataFrame | None = None) -> DataFrame:

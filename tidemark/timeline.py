@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions.scalar import event_id
@@ -114,8 +114,8 @@ def clip_rows(signal: DataFrame, plan: DataFrame, time: str = "start", width: fl
     return signal.join(p, met & inside).drop("__r", "__b", "clip_start", "clip_length")
 
 
-def explained(timeline: DataFrame) -> DataFrame:
-    """(recording_id, id, explanation): each event in a few lines of plain text."""
+def explained(timeline: DataFrame, *keep: str | Column) -> DataFrame:
+    """(recording_id, id, further columns of the events, explanation): each event in a few lines of plain text."""
 
     @F.pandas_udf("string")
     def text(kind: pd.Series, category: pd.Series, start: pd.Series, end: pd.Series, severity: pd.Series, confidence: pd.Series, observations: pd.Series, interpretation: pd.Series, review: pd.Series) -> pd.Series:
@@ -126,7 +126,7 @@ def explained(timeline: DataFrame) -> DataFrame:
             out.append(head + "".join(f"  - {o}\n" for o in obs) + f"\nPossible interpretation:\n  {it or '(none stated)'}\n\n{tail}\n")
         return pd.Series(out)
 
-    return timeline.select("recording_id", "id", text("type", "category", "start", "end", "severity", "confidence", "observations", "possible_interpretation", "requires_human_review").alias("explanation"))
+    return timeline.select("recording_id", "id", *keep, text("type", "category", "start", "end", "severity", "confidence", "observations", "possible_interpretation", "requires_human_review").alias("explanation"))
 
 
 def rows(timeline: DataFrame) -> Iterator:
