@@ -43,6 +43,18 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_channels_that_are_silent_all_day_equal_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-02 03:00:00' + to_hours((i * 7)::INT) AS ts, i % 3 AS user_id, ['click', 'view'][i % 2 + 1] AS event_type, CASE WHEN i % 2 = 0 THEN 0 ELSE i END::DOUBLE AS value, '' AS props FROM range(40) t(i)) TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    got, want = registry.QUERIES["channel_samples"](spark, str(tmp_path)).toPandas(), con.sql(registry.SQL["channel_samples"]).df()
+    key = ["recording_id", "idx", "channel"]
+    got, want = (d.sort_values(key).reset_index(drop=True)[sorted(d.columns)] for d in (got, want))
+    assert (want["level"] == float("-inf")).any() and (want["level"] > -100).any()
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, check_exact=False, atol=1e-6)
+
+
 def test_sql_belongs_to_queries():
     assert set(registry.SQL) <= set(registry.QUERIES)
 

@@ -76,9 +76,9 @@ def block_levels(blocks: DataFrame, window: float = 0.5) -> DataFrame:
     return _envelope(d, window, "recording_id")
 
 
-def _by_channel(levels: DataFrame, window: float, part: str) -> DataFrame:
+def _by_channel(levels: DataFrame, window: float, part: str, silent: float = SILENT_DB) -> DataFrame:
     """A map from channel to level for each window of (part, idx, channel, ms)."""
-    w = levels.withColumn("db", F.coalesce(level_db(F.col("ms")), F.lit(SILENT_DB)))
+    w = levels.withColumn("db", level_db(F.col("ms"), silent))
     d = w.groupBy(part, "idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("channel").cast("int"), "db")))).alias("channel_rms_db"))
     start = F.col("idx") * window
     return d.select(part, "idx", F.round(start * 1000).cast("long").alias("start_ms"), start.alias("start"), (start + window).alias("end"), "channel_rms_db")
@@ -90,11 +90,11 @@ def block_channel_levels(blocks: DataFrame, channels: int, window: float = 0.5)
     return _by_channel(d.withColumn("ms", F.col("squares") / (SCALE * SCALE) / F.col("n")), window, "recording_id")
 
 
-def channel_envelope(samples: DataFrame, window: float = 0.5, part: str = "recording_id") -> DataFrame:
+def channel_envelope(samples: DataFrame, window: float = 0.5, part: str = "recording_id", silent: float = SILENT_DB) -> DataFrame:
     """recording_id, idx, start_ms, start, end, channel_rms_db (channel from 1 -> level) of (recording_id, channel, time, value).
 
-    Channels without samples in a window are absent from its map. Samples are summed up by
+    Channels without samples in a window are absent from its map; `silent` is the level of one whose samples are all 0. Samples are summed up by
     channel first, so a window's map gathers one row a channel.
     """
     w = _windowed(samples, window).groupBy(part, "idx", "channel").agg(F.avg(F.col("value") * F.col("value")).alias("ms"))
-    return _by_channel(w, window, part)
+    return _by_channel(w, window, part, silent)
