@@ -1,5 +1,8 @@
 """Detectors and analysis over made-up recordings, with events worked out by hand from the rules."""
 
+import json
+
+import pyarrow as pa
 import pytest
 
 from tests.fixtures import A, B, Build, picture
@@ -166,3 +169,28 @@ def test_evidence_and_command_line(spark, tmp_path):
         d.write.parquet(str(tmp_path / f"in/{name}.parquet"))
     assert cli.main(["batch", str(tmp_path / "in"), "--out-dir", str(tmp_path / "out"), "--lang", "ja"]) == 0
     assert "r_1/report.md" in (tmp_path / "out/index.md").read_text() and "explanation" in (tmp_path / "out/r_1/report.md").read_text()
+
+
+def test_reports_are_made_one_recording_at_a_time(monkeypatch):
+    """Reports don't pile up: what a task hands on at once is bounded, whatever comes in at once."""
+    monkeypatch.setattr(documents, "HELD", 5000)
+    event = {k: "x" for k in ("id", "category", "type", "severity", "confidence", "possible_interpretation", "detector")} | {"variant": "blackout", "observations": ["o"], "source_files": [], "evidence": [], "requires_human_review": True, "measurements": {"duration": 1.0, "channel_rms_db": None}}
+    rows = []
+    for i in range(60):
+        rows.append({"recording_id": f"r{i}", "side": 0, "media": {"path": f"/{i}", "duration": 500.0, "width": 320, "height": None if i == 7 else 240}, "limitations": ["l"] if i % 2 else None, "event": None})
+        rows += [{"recording_id": f"r{i}", "side": 1, "media": None, "limitations": None, "event": event | {"start": 1.0 * k, "end": k + 1.0, "duration": 1.0, "facts": [("duration", 1.0)]}} for k in range(i % 4 * 10)]
+    texts = ("id", "category", "type", "severity", "confidence", "possible_interpretation", "detector", "variant")
+    measured = pa.struct([("duration", pa.float64()), ("channel_rms_db", pa.map_(pa.int32(), pa.float64()))])
+    of_event = pa.struct([*[(k, pa.string()) for k in texts], *[(k, pa.float64()) for k in ("start", "end", "duration")], *[(k, pa.list_(pa.string())) for k in ("observations", "source_files")], ("evidence", pa.map_(pa.string(), pa.string())), ("facts", pa.map_(pa.string(), pa.float64())), ("requires_human_review", pa.bool_()), ("measurements", measured)])
+    media = pa.struct([("path", pa.string()), ("duration", pa.float64()), ("width", pa.int32()), ("height", pa.int32())])
+    table = pa.Table.from_pylist(rows, pa.schema([("recording_id", pa.string()), ("side", pa.int32()), ("media", media), ("limitations", pa.list_(pa.string())), ("event", of_event)]))
+    made = list(documents._handed_on(documents._rendered(iter(table.to_batches(max_chunksize=77)), ("en", "ja"))))
+    size = lambda r: sum(len(r[c]) for c in ("json", "markdown", "html"))
+    held = [b.to_pylist() for b in made]
+    assert all(sum(map(size, x[:-1])) < 5000 for x in held) and len(held) > 30
+    got = {(r["recording_id"], r["lang"]): r for x in held for r in x}
+    assert len(got) == sum(map(len, held)) == 120
+    for i in range(60):
+        own = json.loads(got[f"r{i}", "en"]["json"])
+        assert [e["start"] for e in own["events"]] == [1.0 * k for k in range(i % 4 * 10)] and own["limitations"] == ["l"] * (i % 2)
+        assert own["media"]["resolution"] == (None if i == 7 else [320, 240]) and got[f"r{i}", "ja"]["markdown"].count("\n### ") == i % 4 * 10
