@@ -10,29 +10,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.media import with_first
+from .groups import slices
 from .levels import SCALE
 
 
+#: Blocks whose runs are found and handed on together.
+BLOCKS = 64
+
+
 def _runs(quiet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place and end of every run of True."""
     edges = np.diff(np.concatenate([[0], quiet.view(np.int8), [0]]))
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
+def _found(batches: Iterator[pa.RecordBatch], loudest: int) -> Iterator[pa.RecordBatch]:
+    """The rows of quiet_runs, those of BLOCKS blocks at once."""
+    for b in slices(batches, BLOCKS):
+        lists, own = b.column("samples"), []
+        for i, first in enumerate(b.column("first").to_pylist()):
+            x = lists[i].values.to_numpy(zero_copy_only=False)
+            begin, end = _runs((x >= -loudest) & (x <= loudest))
+            own.append((begin + first, end + first, (begin == 0) | (end == len(x))))
+        which = pa.array(np.repeat(np.arange(len(own)), [len(o[0]) for o in own]))
+        columns = [pa.array(np.concatenate([o[k] for o in own]), t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([b.column("recording_id").take(which), b.column("sample_rate").take(which), *columns], ["recording_id", "sample_rate", "first", "end", "open"])
+
+
 def quiet_runs(blocks: DataFrame, noise_db: float = -60.0) -> DataFrame:
     """(recording_id, sample_rate, first, end, open): runs of samples no louder than noise_db within each block; open ones touch an edge of it."""
     loudest = int(np.floor(10 ** (noise_db / 20) * SCALE))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, lists = [], b.column("samples")
-            for i, (rec, rate, first) in enumerate(zip(*(b.column(c).to_pylist() for c in ("recording_id", "sample_rate", "first")), strict=True)):
-                x = lists[i].values.to_numpy(zero_copy_only=False).astype(np.int32)
-                begin, end = _runs(np.abs(x) <= loudest)
-                out += [(rec, rate, first + a, first + z, a == 0 or z == len(x)) for a, z in zip(begin.tolist(), end.tolist(), strict=True)]
-            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["recording_id", "sample_rate", "first", "end", "open"])
+        return _found(batches, loudest)
 
     d = with_first(blocks).select(F.col("recording_id").cast("string"), F.col("sample_rate").cast("int"), "first", "samples")
     return d.mapInArrow(find, "recording_id string, sample_rate int, first long, end long, open boolean")
