@@ -5,11 +5,12 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.media import with_first
+from .groups import by_key
 
 #: Samples of a range by which clips and blocks meet.
 RANGE = 1 << 16
@@ -45,10 +46,9 @@ def wav_clips(blocks: DataFrame, plan: DataFrame) -> DataFrame:
     met = met.where((start < end) & (F.floor(start / RANGE) == F.col("range")))
     cut = met.select("recording_id", "incident", "rate", start.alias("at"), F.slice("samples", (start - F.col("first") + 1).cast("int"), (end - start).cast("int")).alias("samples"))
 
-    def put(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at")
-        x = np.concatenate(part["samples"].to_numpy())
-        one = part.iloc[0]
-        return pd.DataFrame({"recording_id": [one["recording_id"]], "incident": [one["incident"]], "first": [one["at"]], "n": [len(x)], "content": [wav(x, int(one["rate"]))]})
+    def put(key: tuple, part: pa.Table) -> pa.RecordBatch:
+        x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in part.column("samples").chunks])
+        values = [key[0], key[1], part.column("at")[0].as_py(), len(x), wav(x, part.column("rate")[0].as_py())]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["recording_id", "incident", "first", "n", "content"])
 
-    return cut.groupBy("recording_id", "incident").applyInPandas(put, "recording_id string, incident int, first long, n long, content binary")
+    return by_key(cut, ["recording_id", "incident"], ["at"], put, "recording_id string, incident int, first long, n long, content binary")
