@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import SILENT_DB, level_db
 from ..sources.media import with_first
+from .groups import slices
 
 #: Full scale of 16-bit samples, and the least size of one at its limit.
 SCALE, LIMIT = 32768.0, 0.999
 
+#: Blocks whose sums are handed on together.
+BLOCKS = 256
+
 
 def _windowed(samples: DataFrame, window: float) -> DataFrame:
     return samples.withColumn("idx", F.floor(F.col("time") / window).cast("int"))
@@ -46,7 +50,7 @@ def _partial_sums(blocks: DataFrame, window: float, channels: int) -> DataFrame:
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, BLOCKS):
             out = []
             lists = b.column("samples")
             for i, (rec, rate, first) in enumerate(zip(*(b.column(c).to_pylist() for c in ("recording_id", "sample_rate", "first")), strict=True)):
