@@ -4,10 +4,12 @@ import json
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.fixtures import A, B, Build, picture
 from tidemark import detectors as d
 from tidemark import timeline as tl
+from tidemark.detectors.base import Signals
 from tidemark.plans.analysis import analyze, batch_index, all_failed, build_detectors
 from tidemark.reporting import documents
 
@@ -194,3 +196,25 @@ def test_reports_are_made_one_recording_at_a_time(monkeypatch):
         own = json.loads(got[f"r{i}", "en"]["json"])
         assert [e["start"] for e in own["events"]] == [1.0 * k for k in range(i % 4 * 10)] and own["limitations"] == ["l"] * (i % 2)
         assert own["media"]["resolution"] == (None if i == 7 else [320, 240]) and got[f"r{i}", "ja"]["markdown"].count("\n### ") == i % 4 * 10
+
+
+def test_a_task_runs_one_detector(spark):
+    """Parts that lie by the same key are not lined up, else a task holds what all detectors sort."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        # tables that Spark can't see to be empty or small
+        rows = spark.range(8).select(F.col("id").cast("string").alias("recording_id"), (F.col("id") * 1.0).alias("start"), (F.col("id") + 5.0).alias("end"))
+        s = Signals(spark, {
+            "recordings": rows.select("recording_id", F.lit("/p").alias("path"), F.lit(9.0).alias("duration"), F.lit(True).alias("has_video"), F.lit(True).alias("has_audio"), F.lit(1280).alias("width"), F.lit(720).alias("height"), F.lit(2).alias("channels"), F.lit(25.0).alias("frame_rate"), F.lit(None).cast("string").alias("error")),
+            "measured_segments": rows.select("recording_id", F.lit("black").alias("kind"), "start", "end", (F.col("end") - F.col("start")).alias("duration")),
+        })
+        found = analyze(s, chosen=[d.Blackout()] * 3)
+        one = analyze(s, chosen=[d.Blackout()])
+        many, few = (x.events.select("recording_id", "severity").rdd.getNumPartitions() for x in (found, one))
+        assert many == 3 * few
+        assert found.events.count() == 24
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
