@@ -70,3 +70,21 @@ def test_gaps_between_chunks(spark):
     b = Build().frames("r", [A, A, B])
     b.rows["frame_samples"] += [("r", 3, 500_000, 500.0, *B), ("r", 4, 900_000, 900.0, *A)]
     compared(spark, b, 24, 10.0)
+
+
+def test_the_last_segment_ends_whole_milliseconds_after_its_frame(spark):
+    rng, rows, want = random.Random(1), [], {}
+    for k in range(40):
+        ms = sorted(rng.sample(range(2_600_000_000), 5))
+        rows += [(str(k), i, t / 1000, *A) for i, t in enumerate(ms)]
+        want[str(k)] = ms[-1] / 1000 + (ms[1] - ms[0]) / 1000
+    f = spark.createDataFrame(rows, "recording_id string, idx int, time double, hash array<bigint>, bucket int")
+    for made in (states.anchor_segments(f), segments.chunked_segments(f, seconds=1e9)):
+        assert {r.recording_id: r.end for r in made.collect()} == want
+
+
+def test_frames_at_one_time_go_by_their_number(spark):
+    rows = [("r", i, t, *p) for i, t, p in [(2, 1.0, A), (0, 0.0, A), (1, 1.0, B), (3, 2.0, A)]]
+    f = spark.createDataFrame(rows, "recording_id string, idx int, time double, hash array<bigint>, bucket int").coalesce(1)
+    assert [(r.start, r.end, r.sample_count) for r in states.anchor_segments(f).orderBy("pos").collect()] == [(0.0, 1.0, 1), (1.0, 1.0, 1), (1.0, 3.0, 2)]
+    assert [r.distance > 0 for r in states.visual_activity(f).collect()] == [True, True, False]

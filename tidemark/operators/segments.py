@@ -181,7 +181,7 @@ def chunked_segments(frames: DataFrame, threshold: int = STABLE, step: float | N
     found = d.groupBy("recording_id", "anchor_chunk", "anchor_at").agg(F.max("start").alias("start"), F.sum("n").alias("n"), F.max("most").alias("most"), F.max("end").alias("end"), F.max("hash").alias("hash"), F.max("bucket").alias("bucket"))
     first = F.slice(F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array("t0", "t1"))))), 1, 2)
     ends = packed.groupBy("recording_id").agg(F.max("last").alias("last"), first.alias("first"))
-    gap = F.lit(step) if step is not None else F.coalesce(F.try_element_at("first", F.lit(2)) - F.col("first")[0], F.lit(0.5))
+    gap = F.lit(step) if step is not None else F.coalesce(F.rint((F.try_element_at("first", F.lit(2)) - F.col("first")[0]) * 1e6) / 1e6, F.lit(0.5))
     d = found.join(ends, "recording_id").withColumn("pos", F.row_number().over(Window.partitionBy("recording_id").orderBy("anchor_chunk", "anchor_at")) - 1)
     names = [c.split()[0] for c in _SEGMENT.split(", ")]
     d = d.withColumns({"end": F.coalesce("end", F.col("last") + gap), "sample_count": F.col("n").cast("int"), "max_internal_distance": F.col("most").cast("int")})
